@@ -98,4 +98,5 @@ def captured_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     log = write_log(capture_tables(tables, "shop", "public", include=["customer", "part"]))
     after = after_row(F.col("value"), row(id=LongType, name=StringType))
-    return event_log(spark, log).select("topic", after.alias("after")).select("topic", "after.*")
+    topics = [topic_name("shop", "public", name) for name in tables]
+    return event_log(spark, log, topics).select("topic", after.alias("after")).select("topic", "after.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,10 @@ TOPIC_RECORD = StructType(
 # A replay starts from the oldest record however old it is, so no file is ever
 # skipped for its age; a batch takes files up to this size.
 FILE_AGE_LIMIT = "36500d"
-BATCH_BYTES = "1t"
+BATCH_BYTES = 1 << 40
+
+
+_LOGGED = StructType([f for f in TOPIC_RECORD if f.name != "topic"])
 
 
 def _names(topics: str | Sequence[str]) -> list[str]:
@@ -62,46 +66,38 @@ def kafka_stream(
     )
 
 
-def _subscription(log: str, topics: str | Sequence[str] | None) -> str:
-    """Path of the subscribed topics; the log has one folder per topic."""
-    if topics is None:
-        return f"{log}/topic=*"
-    names = _names(topics)
-    return f"{log}/topic={names[0]}" if len(names) == 1 else f"{log}/topic={{{','.join(names)}}}"
-
+def event_log(spark: SparkSession, log: str, topics: str | Sequence[str]) -> DataFrame:
+    """The subscribed topics of a log as a bounded frame.
 
-def event_log(
-    spark: SparkSession, log: str, topics: str | Sequence[str] | None = None
-) -> DataFrame:
-    """The log as a bounded frame, all topics or the subscribed ones."""
-    records = (
-        spark.read.schema(TOPIC_RECORD)
-        .option("basePath", log)
-        .parquet(_subscription(log, topics))
-    )
-    return records.select(*TOPIC_RECORD.names)
+    The log has a folder per topic, so the files of other topics are not read.
+    """
+    subscribed = F.col("topic").isin(_names(topics))
+    return spark.read.schema(TOPIC_RECORD).parquet(log).where(subscribed).select(*TOPIC_RECORD.names)
 
 
 def event_log_stream(
     spark: SparkSession,
     log: str,
-    topics: str | Sequence[str] | None = None,
-    batch_bytes: str = BATCH_BYTES,
+    topics: str | Sequence[str],
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
-    """The log as a stream, from its oldest file on.
+    """The subscribed topics of a log as a stream, from their oldest files on.
 
-    Files of other topics are not even listed. What is due is taken in batches
-    of ``batch_bytes``, so that a restart with a checkpoint repeats one batch
-    and not the whole log.
+    Each topic is a file source of its own: the folders of other topics are not
+    even listed. What is due is taken in batches of ``batch_bytes`` a topic, so
+    that a restart with a checkpoint repeats one batch and not the whole log.
     """
-    records = (
-        spark.readStream.schema(TOPIC_RECORD)
-        .option("basePath", log)
-        .option("maxFileAge", FILE_AGE_LIMIT)
-        .option("maxBytesPerTrigger", batch_bytes)
-        .parquet(_subscription(log, topics))
-    )
-    return records.select(*TOPIC_RECORD.names)
+
+    def one(topic: str) -> DataFrame:
+        records = (
+            spark.readStream.schema(_LOGGED)
+            .option("maxFileAge", FILE_AGE_LIMIT)
+            .option("maxBytesPerTrigger", batch_bytes)
+            .parquet(f"{log}/topic={topic}")
+        )
+        return records.withColumn("topic", F.lit(topic)).select(*TOPIC_RECORD.names)
+
+    return reduce(DataFrame.union, [one(topic) for topic in _names(topics)])
 
 
 def end_offset(spark: SparkSession, log: str, topic: str) -> int:
