@@ -34,7 +34,8 @@ DIFFED = row(o_orderkey=LongType, o_orderstatus=StringType, o_totalprice=DoubleT
     WHERE old.o_orderkey IS DISTINCT FROM new.o_orderkey
        OR old.o_orderstatus IS DISTINCT FROM new.o_orderstatus
        OR old.o_totalprice IS DISTINCT FROM new.o_totalprice
-    """
+    """,
+    name="diff_to_events",
 )
 def diff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two states of the orders as events, then decoded with their keys.
@@ -50,7 +51,7 @@ def diff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus",
         (F.col("o_totalprice") + F.when(priority == "1-URGENT", 1).otherwise(0)).alias("o_totalprice"),
     )
-    log = write_log(diff_to_events(old, new, ["o_orderkey"], ORDERS))
+    log = write_log(diff_to_events(old, new, ["o_orderkey"], ORDERS), ORDERS)
     key = F.from_json(F.col("key").cast("string"), "o_orderkey BIGINT")["o_orderkey"]
     return (
         event_log(spark, log, ORDERS)

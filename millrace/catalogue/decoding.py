@@ -21,7 +21,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decoded(events: DataFrame, row: StructType) -> DataFrame:
-    return decode_rows(event_log(events.sparkSession, write_log(events), TOPIC), row)
+    return decode_rows(event_log(events.sparkSession, write_log(events, TOPIC), TOPIC), row)
 
 
 def _with_value(orders: DataFrame, value) -> DataFrame:
@@ -38,7 +38,10 @@ def pg_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(_with_value(orders, event_json(after)), ORDER_ROW)
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query(
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    name="snapshot_to_events",
+)
 def snapshot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table as events and back."""
     return _decoded(snapshot_to_events(_orders(spark, sf_dir), ["o_orderkey"], TOPIC), ORDER_ROW)
@@ -121,7 +124,7 @@ def pg_decode_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mongo_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document events to rows, in two parsing steps."""
     topic = topic_name("school", "people", "students")
-    log = write_log(documents_to_events(people(spark, sf_dir), topic))
+    log = write_log(documents_to_events(people(spark, sf_dir), topic), topic)
     return decode_documents(
         event_log(spark, log, topic),
         PERSON_DOCUMENT,
@@ -156,5 +159,5 @@ def mongo_decode_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("binary").alias("key"), value.alias("value"), F.lit(topic).alias("topic")
     )
     return decode_documents(
-        event_log(spark, write_log(events), topic), PERSON_DOCUMENT, {"nome": "nome", "idade": "idade"}
+        event_log(spark, write_log(events, topic), topic), PERSON_DOCUMENT, {"nome": "nome", "idade": "idade"}
     )

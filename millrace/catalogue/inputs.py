@@ -62,10 +62,10 @@ def expenses_text(spark: SparkSession, sf_dir: str, folder: str) -> str:
     )
 
 
-def write_log(events: DataFrame) -> str:
-    """Write events out as a new log."""
+def write_log(events: DataFrame, topic: str | None = None) -> str:
+    """Write events out as a new log; see ``append_events`` for ``topic``."""
     log = f"{new_folder(events.sparkSession)}/log"
-    append_events(events, log)
+    append_events(events, log, topic)
     return log
 
 

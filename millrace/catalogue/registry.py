@@ -12,12 +12,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str) -> Callable[[Query], Query]:
-    """Register a query under its function name, with the SQL of the same result."""
+def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, under its function's name by default, with the SQL of its result."""
 
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        ORACLES[function.__name__] = sql
+        QUERIES[name or function.__name__] = function
+        ORACLES[name or function.__name__] = sql
         return function
 
     return register

@@ -25,11 +25,11 @@ STUDENTS = topic_name("school", "people", "students")
 
 def _orders_log(spark: SparkSession, sf_dir: str) -> str:
     orders = table(spark, sf_dir, "orders", *ORDER_ROW.names)
-    return write_log(snapshot_to_events(orders, ["o_orderkey"], ORDERS))
+    return write_log(snapshot_to_events(orders, ["o_orderkey"], ORDERS), ORDERS)
 
 
 def _people_log(spark: SparkSession, sf_dir: str) -> str:
-    return write_log(documents_to_events(people(spark, sf_dir), STUDENTS))
+    return write_log(documents_to_events(people(spark, sf_dir), STUDENTS), STUDENTS)
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
@@ -39,7 +39,7 @@ def stream_pg_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     The log's row count comes from the footers of its files.
     """
     clicks = table(spark, sf_dir, "events", *EVENT_ROW.names)
-    log = write_log(snapshot_to_events(clicks, ["event_id"], CLICKS))
+    log = write_log(snapshot_to_events(clicks, ["event_id"], CLICKS), CLICKS)
     return rows_to_view(
         event_log_stream(spark, log, CLICKS),
         "clicks",
@@ -103,12 +103,13 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
         finish(start_files(rows, f"{folder}/rows", f"{folder}/checkpoint", bounded=True))
         return rows.schema
 
-    append_events(snapshot_to_events(orders.where(~urgent), ["o_orderkey"], ORDERS), log)
+    append_events(snapshot_to_events(orders.where(~urgent), ["o_orderkey"], ORDERS), log, ORDERS)
     run()
     append_events(
         snapshot_to_events(orders.where(urgent), ["o_orderkey"], ORDERS),
         log,
-        end_offset(spark, log, ORDERS),
+        ORDERS,
+        first_offset=end_offset(spark, log, ORDERS),
     )
     run()
     schema = run()

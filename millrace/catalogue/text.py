@@ -55,7 +55,7 @@ def csv_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM lineitem
     """
 )
-def money_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def money_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every price in one of the spellings that occur, readable or not."""
     items = table(
         spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice"

@@ -61,9 +61,9 @@ def after_document(value: Column, document: StructType) -> Column:
     return F.from_json(after_text(value), document)
 
 
-def key_json(keys: Sequence[str]) -> Column:
-    """The key columns as a JSON object in bytes."""
-    return F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]), _KEEP_NULLS).cast("binary")
+def json_bytes(value: Column) -> Column:
+    """A struct as a JSON object in bytes."""
+    return F.to_json(value, _KEEP_NULLS).cast("binary")
 
 
 def row_json(columns: Sequence[str]) -> Column:
@@ -74,4 +74,4 @@ def row_json(columns: Sequence[str]) -> Column:
 def event_json(after: Column) -> Column:
     """An event around ``after`` (struct, text or NULL) in bytes."""
     payload = F.struct(after.alias("after"))
-    return F.to_json(F.struct(payload.alias("payload")), _KEEP_NULLS).cast("binary")
+    return json_bytes(F.struct(payload.alias("payload")))

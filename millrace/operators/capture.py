@@ -7,12 +7,13 @@ which is what a topic sink takes.
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from millrace.functions.envelope import event_json, key_json, row_json
+from millrace.functions.envelope import event_json, json_bytes, row_json
 
 
 def topic_name(prefix: str, namespace: str, table: str) -> str:
@@ -20,19 +21,19 @@ def topic_name(prefix: str, namespace: str, table: str) -> str:
     return ".".join((prefix, namespace, table))
 
 
+def _struct(columns: Sequence[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in columns])
+
+
 def _events(
     df: DataFrame, keys: Sequence[str], after: Column, topic: str | Column
 ) -> DataFrame:
     topic = topic if isinstance(topic, Column) else F.lit(topic)
     return df.select(
-        key_json(keys).alias("key"), event_json(after).alias("value"), topic.alias("topic")
+        json_bytes(_struct(keys)).alias("key"), event_json(after).alias("value"), topic.alias("topic")
     )
 
 
-def _row_struct(columns: Sequence[str]) -> Column:
-    return F.struct(*[F.col(f"`{c}`") for c in columns])
-
-
 def snapshot_to_events(
     rows: DataFrame, keys: Sequence[str], topic: str | Column
 ) -> DataFrame:
@@ -40,7 +41,7 @@ def snapshot_to_events(
 
     ``topic`` is a name, or a column that names the topic of each row.
     """
-    return _events(rows, keys, _row_struct(rows.columns), topic)
+    return _events(rows, keys, _struct(rows.columns), topic)
 
 
 def documents_to_events(documents: DataFrame, topic: str, keys: Sequence[str] = ("_id",)) -> DataFrame:
@@ -75,28 +76,29 @@ def capture_tables(
 def diff_to_events(old: DataFrame, new: DataFrame, keys: Sequence[str], topic: str) -> DataFrame:
     """Two states of a table as events for inserted, updated and deleted rows.
 
-    ``keys`` must identify a row within each state; the job fails when they do
-    not. Unchanged rows cancel out in one aggregation over whole rows: its
-    shuffle is spread by the whole row and nothing is joined or sorted. Only
-    what is left, the changed rows, is brought together by key.
+    ``keys`` is the primary key: never NULL and at most once in each state, so
+    the rows spread evenly over the shuffle on it. That shuffle, one a side, is
+    the only one; rows that did not change are dropped as the sides are merged.
     """
     columns = new.columns
-    quoted = [f"`{c}`" for c in columns]
-    sides = old.select(*quoted, F.lit(-1).alias("__side")).unionByName(
-        new.select(*quoted, F.lit(1).alias("__side"))
-    )
-    changed = (
-        sides.groupBy(*quoted).agg(F.sum("__side").alias("__side")).where(F.col("__side") != 0)
+
+    def was(name: str) -> Column:
+        return F.col(f"`__old_{name}`")
+
+    def now(name: str) -> Column:
+        return F.col(f"`{name}`")
+
+    before = old.select(
+        *[now(c).alias(f"__old_{c}") for c in columns], F.lit(True).alias("__was")
     )
-    same_key = Window.partitionBy(*[f"`{k}`" for k in keys])
-    side = F.col("__side")
-    paired = changed.select(
-        *quoted,
-        "__side",
-        F.sum(F.greatest(side, F.lit(0))).over(same_key).alias("__new"),
-        F.sum(F.greatest(-side, F.lit(0))).over(same_key).alias("__old"),
+    after = new.select(*[now(c) for c in columns], F.lit(True).alias("__is"))
+    both = before.join(after, reduce(and_, [was(k) == now(k) for k in keys]), "full")
+    unchanged = [was(c).eqNullSafe(now(c)) for c in columns if c not in keys]
+    kept = reduce(and_, unchanged, F.col("__was").eqNullSafe(F.col("__is")))
+    changed = both.where(~kept)
+    key = F.struct(*[F.coalesce(now(k), was(k)).alias(k) for k in keys])
+    return changed.select(
+        json_bytes(key).alias("key"),
+        event_json(F.when(F.col("__is"), _struct(columns))).alias("value"),
+        F.lit(topic).alias("topic"),
     )
-    several = F.raise_error(F.lit(f"{list(keys)} do not identify a row")).cast("boolean")
-    checked = paired.where(F.when(F.greatest("__new", "__old") > 1, several).otherwise(True))
-    events = checked.where((side == 1) | (F.col("__new") == 0))
-    return _events(events, keys, F.when(side == 1, _row_struct(columns)), topic)
