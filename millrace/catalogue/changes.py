@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
 
-from millrace.catalogue.inputs import people, row, table, write_log
+from millrace.catalogue.inputs import PERSON, people, row, table, write_log
 from millrace.catalogue.registry import query
 from millrace.functions.envelope import after_row
 from millrace.operators.capture import capture_tables, diff_to_events, topic_name
@@ -74,7 +74,7 @@ def documents_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{new_folder(spark)}/students"
     append_documents(people(spark, sf_dir), path)
     append_documents(people(spark, sf_dir), path)
-    stored = read_documents(spark, path, "_id STRUCT<`$oid`: STRING>, nome STRING, idade INT")
+    stored = read_documents(spark, path, PERSON)
     return stored.select(F.col("_id.`$oid`").alias("id"), "nome", "idade")
 
 

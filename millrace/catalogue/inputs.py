@@ -19,6 +19,9 @@ from millrace.sinks.topics import append_events
 from millrace.sources.database import Database
 from millrace.workspace import new_folder
 
+# What the stored documents hold.
+PERSON = "_id STRUCT<`$oid`: STRING>, nome STRING, idade INT, date STRING"
+
 
 def row(**fields: type[DataType]) -> StructType:
     """A row schema from field names and types."""

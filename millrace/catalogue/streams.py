@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from millrace.catalogue.inputs import ORDER_ROW, people, row, table, write_log
+from millrace.catalogue.inputs import ORDER_ROW, PERSON, people, row, table, write_log
 from millrace.catalogue.registry import query
 from millrace.functions.envelope import PERSON_DOCUMENT
 from millrace.operators.capture import documents_to_events, snapshot_to_events, topic_name
 from millrace.operators.decode import decode_documents, decode_rows
+from millrace.plans.capture import capture_collection
 from millrace.plans.topics import documents_to_console, rows_to_console, rows_to_view
+from millrace.sinks.files import append_documents
 from millrace.sinks.topics import append_events
 from millrace.sources.topics import end_offset, event_log, event_log_stream
 from millrace.streaming.sinks import finish, start_files
@@ -75,10 +77,14 @@ def stream_mongo_console(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_name AS nome, c_nationkey AS idade FROM customer")
 def stream_mongo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document topic decoded into Parquet files."""
+    """Documents added to a collection, captured, and their topic decoded into files."""
     folder = new_folder(spark)
+    append_documents(people(spark, sf_dir), f"{folder}/students")
+    topic = capture_collection(
+        spark, f"{folder}/students", PERSON, f"{folder}/log", "school", "people", "students"
+    )
     rows = decode_documents(
-        event_log_stream(spark, _people_log(spark, sf_dir), STUDENTS),
+        event_log_stream(spark, f"{folder}/log", topic),
         PERSON_DOCUMENT,
         {"nome": "nome", "idade": "idade"},
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import glob
+import os
+
 import pytest
 from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ TOPIC = "t.a.b"
 
 
 def _rows(spark, start: int, end: int):
-    return spark.range(start, end).withColumn("name", F.concat(F.lit("a name of twenty and more letters "), "id"))
+    return spark.range(start, end, numPartitions=2).withColumn("name", F.concat(F.lit("a name of twenty and more letters "), "id"))
 
 
 def _append(spark, log: str, start: int, end: int, topic: str = TOPIC) -> None:
@@ -64,22 +67,28 @@ def test_resume_adds_only_what_is_new(spark, folder):
 
 
 def test_small_batches_lose_nothing(spark, folder):
-    """Many batches, with files that look years apart in age."""
-    import glob
-    import os
+    log = f"{folder}/log"
+    _append(spark, log, 0, 20)
+    rows = decode_rows(event_log_stream(spark, log, TOPIC, batch_bytes=1), ROW)
+    finish(start_files(rows, f"{folder}/out", f"{folder}/checkpoint", bounded=True))
+    assert _ids(spark.read.schema(ROW).parquet(f"{folder}/out")) == list(range(20))
+    assert len(glob.glob(f"{folder}/checkpoint/commits/[0-9]*")) == 2
 
+
+def test_no_file_is_too_old(spark, folder):
+    """Files that arrive late but carry a date of years ago are read as well."""
     log = f"{folder}/log"
-    for i in range(5):
-        known = set(glob.glob(f"{log}/**/*.parquet", recursive=True))
+    known: set[str] = set()
+    for i, year in enumerate([2020, 2010, 2000]):
         _append(spark, log, 10 * i, 10 * i + 10)
-        for path in set(glob.glob(f"{log}/**/*.parquet", recursive=True)) - known:
-            age = 1_000_000_000 + i * 100_000_000
+        files = set(glob.glob(f"{log}/**/*.parquet", recursive=True))
+        for path in files - known:
+            age = (year - 1970) * 365 * 86400
             os.utime(path, (age, age))
-    rows = decode_rows(event_log_stream(spark, log, TOPIC, batch_bytes=1), ROW)
-    query = start_files(rows, f"{folder}/out", f"{folder}/checkpoint", bounded=True)
-    finish(query)
-    assert _ids(spark.read.schema(ROW).parquet(f"{folder}/out")) == list(range(50))
-    assert len(os.listdir(f"{folder}/checkpoint/commits")) > 5
+        known = files
+        rows = decode_rows(event_log_stream(spark, log, TOPIC), ROW)
+        finish(start_files(rows, f"{folder}/out", f"{folder}/checkpoint", bounded=True))
+        assert _ids(spark.read.schema(ROW).parquet(f"{folder}/out")) == list(range(10 * i + 10))
 
 
 def test_only_subscribed_topics(spark, folder):
