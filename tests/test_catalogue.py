@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from conftest import DATA
 from oracle import duck_rows, spark_rows
@@ -11,7 +13,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_agrees_with_sql(spark, name):
-    sf_dir = DATA / "sf0.01"
+    sf_dir = DATA / f"sf{os.environ.get('TEST_SF', '0.01')}"
     expected_columns, expected = duck_rows(sf_dir, oracle_sql()[name])
     columns, rows = spark_rows(queries()[name](spark, str(sf_dir)))
     assert columns == expected_columns
