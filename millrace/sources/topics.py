@@ -69,7 +69,8 @@ def kafka_stream(
 def event_log(spark: SparkSession, log: str, topics: str | Sequence[str]) -> DataFrame:
     """The subscribed topics of a log as a bounded frame.
 
-    The log has a folder per topic, so the files of other topics are not read.
+    The log has a folder per topic, so the files of other topics are listed at
+    most and not read. A topic the log does not know is empty.
     """
     subscribed = F.col("topic").isin(_names(topics))
     return spark.read.schema(TOPIC_RECORD).parquet(log).where(subscribed).select(*TOPIC_RECORD.names)

@@ -182,6 +182,40 @@ def test_errors_of_a_query_are_raised(spark, folder):
         finish(start_files(bad, f"{folder}/out", f"{folder}/checkpoint", bounded=True))
 
 
+class _Reader:
+    """Stands for a session's stream reader and notes what it is told."""
+
+    def __init__(self):
+        self.readStream = self
+        self.told = {}
+
+    def format(self, name):
+        self.told["format"] = name
+        return self
+
+    def option(self, name, value):
+        self.told[name] = value
+        return self
+
+    def options(self, **options):
+        self.told.update(options)
+        return self
+
+    def load(self):
+        return self.told
+
+
+def test_broker_source_options():
+    assert kafka_stream(_Reader(), "broker:9092", "t.a.b") == {
+        "format": "kafka",
+        "kafka.bootstrap.servers": "broker:9092",
+        "subscribe": "t.a.b",
+        "startingOffsets": "earliest",
+    }
+    told = kafka_stream(_Reader(), "b:1", ["x", "y"], "latest", maxOffsetsPerTrigger="5")
+    assert (told["subscribe"], told["startingOffsets"], told["maxOffsetsPerTrigger"]) == ("x,y", "latest", "5")
+
+
 def test_broker_source_needs_its_package(spark):
     with pytest.raises(AnalysisException, match="kafka"):
         kafka_stream(spark, "broker:9092", ["t.a.b"])
