@@ -12,6 +12,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.functions.envelope import event_json, json_bytes, row_json
 
@@ -73,12 +74,35 @@ def capture_tables(
     return events
 
 
-def diff_to_events(old: DataFrame, new: DataFrame, keys: Sequence[str], topic: str) -> DataFrame:
+def _once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows, or a failure when two of them have one key.
+
+    Counting by key needs the rows where and as a merge join on the key needs
+    them, so it adds neither a shuffle nor a sort to one.
+    """
+    rows = F.count(F.lit(1)).over(Window.partitionBy(*[f"`{k}`" for k in keys]))
+    several = F.raise_error(F.lit(f"more than one row for a key of {list(keys)}"))
+    counted = df.withColumn("__rows", rows)
+    return counted.where(
+        F.when(F.col("__rows") > 1, several.cast("boolean")).otherwise(True)
+    ).drop("__rows")
+
+
+def diff_to_events(
+    old: DataFrame,
+    new: DataFrame,
+    keys: Sequence[str],
+    topic: str,
+    check_keys: bool = True,
+) -> DataFrame:
     """Two states of a table as events for inserted, updated and deleted rows.
 
     ``keys`` is the primary key: never NULL and at most once in each state, so
     the rows spread evenly over the shuffle on it. That shuffle, one a side, is
     the only one; rows that did not change are dropped as the sides are merged.
+    Were a key to occur often on both sides, all its pairs would come out of the
+    join; the job fails before that, unless ``check_keys`` is off for keys that
+    a database already guarantees.
     """
     columns = new.columns
 
@@ -92,6 +116,9 @@ def diff_to_events(old: DataFrame, new: DataFrame, keys: Sequence[str], topic: s
         *[now(c).alias(f"__old_{c}") for c in columns], F.lit(True).alias("__was")
     )
     after = new.select(*[now(c) for c in columns], F.lit(True).alias("__is"))
+    if check_keys:
+        before = _once(before, [f"__old_{k}" for k in keys])
+        after = _once(after, keys)
     both = before.join(after, reduce(and_, [was(k) == now(k) for k in keys]), "full")
     unchanged = [was(c).eqNullSafe(now(c)) for c in columns if c not in keys]
     kept = reduce(and_, unchanged, F.col("__was").eqNullSafe(F.col("__is")))

@@ -205,6 +205,23 @@ def test_diff_against_brute_force(spark):
         assert _diff(spark, list(old.values()), list(new.values())) == expected
 
 
+@pytest.mark.parametrize("side", ["old", "new"])
+def test_diff_refuses_keys_that_are_not_unique(spark, side):
+    once, twice = [(1, "x", 1.0, "a")], [(1, "x", 1.0, "a"), (1, "x", 2.0, "a")]
+    with pytest.raises(Exception, match="more than one row for a key"):
+        _diff(spark, twice if side == "old" else once, once if side == "old" else twice)
+
+
+def test_diff_of_trusted_keys_is_the_same(spark):
+    old = spark.range(100).withColumn("v", F.col("id") % 3)
+    new = spark.range(50, 150).withColumn("v", F.col("id") % 4)
+    checked, trusted = (
+        sorted(map(str, diff_to_events(old, new, ["id"], "t", check_keys=check).collect()))
+        for check in (True, False)
+    )
+    assert checked == trusted and len(checked) > 100
+
+
 def test_diff_columns_match_by_name(spark):
     old = spark.createDataFrame([(1.0, 1)], "v double, id int")
     new = spark.createDataFrame([(1, 1.0)], "id int, v double")

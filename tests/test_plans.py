@@ -63,7 +63,8 @@ def test_diff_shuffles_each_side_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     tree = text.split("\n\n")[0]
-    assert tree.count("Exchange") == 2 and "FullOuter" in text
+    assert tree.count("Exchange") == 2 and tree.count("Sort (") == 2
+    assert "SortMergeJoin" in tree and "FullOuter" in tree
     assert "CartesianProduct" not in text and "BroadcastNestedLoop" not in text
 
 
