@@ -16,7 +16,7 @@ from pyspark.sql.types import (
 )
 
 from millrace.sinks.topics import append_events
-from millrace.sources.database import Database
+from millrace.sources.database import CONNECTIONS, Database
 from millrace.workspace import new_folder
 
 # What the stored documents hold.
@@ -87,14 +87,15 @@ def database(spark: SparkSession) -> Database:
 
     The latter is seen by this process only and serves a local master, whose
     tasks run in it; on a cluster set ``spark.millrace.jdbc.url``, ``.driver``,
-    ``.user`` and ``.password``.
+    ``.user``, ``.password`` and ``.connections``.
     """
 
     def setting(name: str) -> str | None:
         return spark.conf.get(f"spark.millrace.jdbc.{name}", None)
 
     if setting("url"):
-        return Database(setting("url"), setting("driver"), setting("user"), setting("password"))
+        given = [setting(name) for name in ("url", "driver", "user", "password")]
+        return Database(*given, connections=int(setting("connections") or CONNECTIONS))
     master = spark.conf.get("spark.master", "")
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.millrace.jdbc.url to a database that every executor reaches")

@@ -129,9 +129,11 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def topic_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished orders on one topic, the others on another; one is subscribed to."""
+    """Orders on a topic per status, of which one is subscribed to."""
     orders = table(spark, sf_dir, "orders", *ORDER_ROW.names)
-    finished = topic_name("shop", "public", "finished_orders")
-    topic = F.when(F.col("o_orderstatus") == "F", finished).otherwise(ORDERS)
-    log = write_log(snapshot_to_events(orders, ["o_orderkey"], topic))
+    status = F.concat(F.lit("orders_"), F.lower("o_orderstatus"))
+    log = write_log(
+        snapshot_to_events(orders, ["o_orderkey"], topic_name("shop", "public", status))
+    )
+    finished = topic_name("shop", "public", "orders_f")
     return rows_to_view(event_log_stream(spark, log, finished), "finished_orders", ORDER_ROW)

@@ -17,8 +17,10 @@ from pyspark.sql.window import Window
 from millrace.functions.envelope import event_json, json_bytes, row_json
 
 
-def topic_name(prefix: str, namespace: str, table: str) -> str:
-    """Topic of one table: ``prefix.namespace.table``."""
+def topic_name(prefix: str, namespace: str, table: str | Column) -> str | Column:
+    """Topic of one table: ``prefix.namespace.table``, of each row if ``table`` is a column."""
+    if isinstance(table, Column):
+        return F.concat_ws(".", F.lit(prefix), F.lit(namespace), table)
     return ".".join((prefix, namespace, table))
 
 

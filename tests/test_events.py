@@ -111,8 +111,11 @@ def test_document_identifier(spark):
     assert decode_documents(_values(spark, None), PERSON_DOCUMENT).columns == ["_id", "nome", "idade"]
 
 
-def test_topic_name():
+def test_topic_name(spark):
     assert topic_name("shop", "public", "orders") == "shop.public.orders"
+    tables = spark.createDataFrame([("a",), ("b",)], "t string")
+    topics = tables.select(topic_name("shop", "public", F.col("t")).alias("x")).collect()
+    assert [r.x for r in topics] == ["shop.public.a", "shop.public.b"]
 
 
 SCHEMA = StructType(
