@@ -39,9 +39,17 @@ ORDER_ROW = row(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a test table."""
+    """Columns of a test table.
+
+    A table of one small file is one row group, which only one task can read;
+    its rows are dealt out to all cores by the hash of all they hold. A table
+    with a split for every core, which is any large one, is read as it lies,
+    without a shuffle.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() < cores else df
 
 
 def money_text(amount: Column) -> Column:

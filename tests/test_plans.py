@@ -29,7 +29,7 @@ def plan(df) -> str:
 
 
 def orders(spark):
-    return table(spark, SF, "orders", *ORDER_ROW.names)
+    return spark.read.parquet(f"{SF}/orders.parquet").select(*ORDER_ROW.names)
 
 
 def test_decoding_reads_the_value_and_parses_once(spark, folder):
@@ -83,3 +83,16 @@ def test_no_query_leaves_the_jvm(spark):
     for name in ("csv_money", "pg_decode", "mongo_decode", "diff_to_events", "stage_loop"):
         text = plan(QUERIES[name](spark, SF))
         assert "Python" not in text and "Pandas" not in text
+
+
+def test_only_small_tables_are_dealt_out(spark, folder):
+    small = table(spark, SF, "orders", "o_orderkey")
+    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    parts = spark.sparkContext.defaultParallelism + 1
+    spark.range(0, 1000, numPartitions=parts).write.parquet(f"{folder}/orders.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        assert "Exchange" not in plan(table(spark, folder, "orders", "id"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
