@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
 from millrace.llm.common import read
+from millrace.llm.decontaminate import matched
 from millrace.llm.registry import query
+from millrace.llm.sharding import interleaved_shards
 from millrace.llm.token_output import read_index, write_tokens
 from millrace.workspace import new_folder
 
@@ -24,3 +26,58 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{new_folder(spark)}/tokens"
     write_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer_path(), END_ID)
     return read_index(spark, path)
+
+
+@query()
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    keep = {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary"))}
+    rows = interleaved_shards(read(spark, sf_dir, "documents"), shards=16, seed=7, keep=keep)
+    return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+OP8_SQL = r"""
+WITH item_words AS (
+    SELECT item_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+    SELECT DISTINCT item_id, words[i : i + least(len(words), 10) - 1] AS win
+    FROM item_words, unnest(range(1, greatest(len(words) - 8, 2))) AS u(i)
+    WHERE len(words) > 0
+), doc_words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+), sizes AS (SELECT DISTINCT len(win) AS n FROM windows),
+runs AS (
+    SELECT doc_id, i, n, words[i : i + n - 1] AS win
+    FROM doc_words, sizes, unnest(range(1, greatest(len(words) - n + 2, 1))) AS u(i)
+), found AS (SELECT DISTINCT doc_id, i, n, item_id FROM runs JOIN windows USING (win)),
+hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT DISTINCT doc_id, i, n FROM found), unnest(range(i, i + n)) AS u(p) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query(OP8_SQL)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matched(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
