@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import read
 from millrace.llm.decontaminate import matched
+from millrace.llm.pii import personal_spans
 from millrace.llm.registry import query
 from millrace.llm.sharding import interleaved_shards
 from millrace.llm.token_output import read_index, write_tokens
@@ -81,3 +82,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def _listed(spans: str) -> Column:
+    """Spans as kind:start:end with commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query()
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", personal_spans(F.col("text")).alias("found"))
+    base = ("email", "ip", "card", "phone")
+    rows = rows.withColumn("of_base", F.filter("found", lambda s: s["kind"].isin(*base)))
+    counts = [F.size(F.filter("of_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    return rows.select("doc_id", *counts, F.sha2(_listed("of_base"), 256).alias("base_sha256"), _listed("found").alias("spans"))
