@@ -94,5 +94,6 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", personal_spans(F.col("text")).alias("found"))
     base = ("email", "ip", "card", "phone")
     rows = rows.withColumn("of_base", F.filter("found", lambda s: s["kind"].isin(*base)))
-    counts = [F.size(F.filter("of_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    kinds = F.transform("of_base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in base]
     return rows.select("doc_id", *counts, F.sha2(_listed("of_base"), 256).alias("base_sha256"), _listed("found").alias("spans"))
