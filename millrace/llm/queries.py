@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import read
 from millrace.llm.decontaminate import matched
 from millrace.llm.pii import personal_spans
+from millrace.llm.quality import quality_verdicts
 from millrace.llm.registry import query
 from millrace.llm.sharding import interleaved_shards
 from millrace.llm.token_output import read_index, write_tokens
@@ -97,3 +98,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("of_base", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in base]
     return rows.select("doc_id", *counts, F.sha2(_listed("of_base"), 256).alias("base_sha256"), _listed("found").alias("spans"))
+
+
+@query()
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
