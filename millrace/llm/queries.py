@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read
 from millrace.llm.decontaminate import matched
+from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.pii import personal_spans
 from millrace.llm.quality import quality_verdicts
 from millrace.llm.registry import query
@@ -103,3 +104,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+
+
+@query()
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), size=3, percent=85)
