@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read
 from millrace.llm.decontaminate import matched
+from millrace.llm.mixing import mixture
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.pii import personal_spans
 from millrace.llm.quality import quality_verdicts
@@ -109,3 +110,33 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), size=3, percent=85)
+
+
+# The tree of the mixture: sources are dealt to three domains by their names.
+DOMAINS = {"books": 2, "code": 1, "web": 3}
+LANGUAGES = {"en": 4, "de": 2, "fr": 2, "es": 1}
+MIX_SEED, MIX_EPOCHS, MIX_PERCENT = 11, 2, 80
+
+
+def _weight(node: str, weights: dict[str, int]) -> Column:
+    weight = F.lit(1)
+    for name, value in weights.items():
+        weight = F.when(F.col(node) == name, value).otherwise(weight)
+    return weight
+
+
+def mixed(docs: DataFrame, epochs: int = MIX_EPOCHS, percent: int = MIX_PERCENT) -> DataFrame:
+    """Documents by the weights above: ``percent`` of the tokens there are."""
+    name = F.coalesce("source", F.lit(""))
+    digit = F.conv(F.substring(F.md5(name), 1, 1), 16, 10).cast("int") % len(DOMAINS)
+    domain = F.element_at(F.array(*map(F.lit, DOMAINS)), digit + 1)
+    weights = {"domain": _weight("_domain", DOMAINS), "lang": _weight("_lang", LANGUAGES), "source": F.lit(1)}
+    path = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+    budget = F.expr(f"available * {percent} div 100")
+    return mixture(docs, path, weights, budget, epochs, MIX_SEED)
+
+
+@query()
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixed(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    return rows.select("doc_id", "lang", "source", "epoch", "take_tokens")
