@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import threading
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +39,11 @@ def seeded(seed: int, *parts: Column) -> Column:
 
 
 _held: dict = {}
-_lock = threading.Lock()
 
 
 def once_a_worker(key, make):
-    """What ``make`` builds, kept in this Python worker for its next task with the same key."""
-    with _lock:
-        if key not in _held:
-            _held.clear()
-            _held[key] = make()
-        return _held[key]
+    """What ``make`` builds, kept in this Python worker for its next tasks; only the last key's is kept."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

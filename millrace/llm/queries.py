@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read
 from millrace.llm.decontaminate import matched
+from millrace.llm.language_model import scores, train
 from millrace.llm.mixing import mixture
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.pii import personal_spans
@@ -140,3 +141,14 @@ def mixed(docs: DataFrame, epochs: int = MIX_EPOCHS, percent: int = MIX_PERCENT)
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return rows.select("doc_id", "lang", "source", "epoch", "take_tokens")
+
+
+def _remainder(n: int) -> Column:
+    """crc32 of the id as text, mod n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query()
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", _remainder(7) == 2)
+    return scores(docs, train(docs.where("NOT held_out")))
