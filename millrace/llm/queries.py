@@ -12,6 +12,8 @@ from millrace.llm.mixing import mixture
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.pii import personal_spans
 from millrace.llm.quality import quality_verdicts
+from millrace.llm.ranking import AT_THRESHOLD, scored
+from millrace.llm.ranking import train as train_ranking
 from millrace.llm.registry import query
 from millrace.llm.sharding import interleaved_shards
 from millrace.llm.token_output import read_index, write_tokens
@@ -152,3 +154,11 @@ def _remainder(n: int) -> Column:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", _remainder(7) == 2)
     return scores(docs, train(docs.where("NOT held_out")))
+
+
+@query()
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", _remainder(4) == 2)
+    labels = read(spark, sf_dir, "labels").where(~(_remainder(4) == 2))
+    ranking = train_ranking(docs, labels.select("doc_id", (F.col("quality") == 1).alias("good")), seed=5)
+    return scored(docs, ranking).withColumn("predicted", (F.col("score") >= AT_THRESHOLD).cast("int"))
