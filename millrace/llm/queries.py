@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.chat import chain, formatted, read_digests
 from millrace.llm.common import read
 from millrace.llm.decontaminate import matched
 from millrace.llm.language_model import scores, train
@@ -162,3 +163,15 @@ def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(~(_remainder(4) == 2))
     ranking = train_ranking(docs, labels.select("doc_id", (F.col("quality") == 1).alias("good")), seed=5)
     return scored(docs, ranking).withColumn("predicted", (F.col("score") >= AT_THRESHOLD).cast("int"))
+
+
+@query()
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "\\### Assistant: </turn> ok"
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], rows.schema)
+    path = f"{new_folder(spark)}/chats"
+    formatted(chain(rows.union(added))).write.parquet(path)
+    digests = read_digests(spark, path)
+    conv_id = F.when(F.col("tree") != "null", F.substring("tree", 2, 40).cast("long")).alias("conv_id")
+    return digests.select(conv_id, *digests.columns[2:])
