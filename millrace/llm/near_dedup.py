@@ -272,3 +272,19 @@ def _tested(ends, one, docs, size, percent, threshold, links, tested):
     if links is None:
         return found, pairs
     return links.union(found), tested.union(pairs)
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, the one of the smallest id, and all its columns.
+
+    Of rows with the same id the one with the largest text stays. Rows without
+    an id belong to no component and stay.
+    """
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    repeated = stored(repeated)
+    if not repeated.isEmpty():
+        order = Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())
+        first = docs.join(repeated, "doc_id", "left_semi").withColumn("_first", F.row_number().over(order)).where("_first = 1")
+        docs = stored(docs.join(repeated, "doc_id", "left_anti").unionByName(first.drop("_first")))
+    gone = near_duplicates(docs, size, percent).where("NOT kept").select("doc_id")
+    return docs.join(stored(gone), "doc_id", "left_anti").select(*docs.columns)

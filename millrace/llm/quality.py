@@ -224,33 +224,55 @@ def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return _whitened(core, mean, spread)
 
 
-def quality_verdicts(
-    docs: DataFrame, id_column: str = "doc_id", lang: str = "lang", source: str = "source", limit: float = LIMIT
-) -> DataFrame:
-    """``doc_id``, the statistics, ``base_failed``, ``distance`` and ``kept`` of each row of ``docs``.
-
-    A text that fails a fixed limit is not part of its group's estimate; its
-    distance is null. A null language or source counts as the empty one. A
-    group of few or equal texts has the least spread, so none of them is an
-    outlier by itself. A null or empty text fails by its number of words.
-    Repeated rows are judged alike, each one; an empty table gives an empty
-    result. Other columns are left out.
-    """
-    rows = with_statistics(
+def _prepared(docs: DataFrame, lang: str, source: str, *keep: Column) -> DataFrame:
+    return with_statistics(
         docs.select(
-            F.col(id_column).alias("doc_id"),
+            *keep,
             F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"),
             F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
             F.col("text").alias("_text"),
         ),
         "_text",
     )
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = stored(rows.select("doc_id", *_GROUP, *names, "base_failed", *_vector()))
+
+
+def _estimated(rows: DataFrame) -> DataFrame:
+    """The estimate of each group, from rows that pass the fixed limits."""
     judged = rows.where("NOT base_failed")
     estimate = _start(judged)
     for _ in range(STEPS):
         estimate = _concentrated(judged, estimate)
-    passed = _distance(judged, estimate).withColumn("kept", F.col("_d") <= limit)
+    return estimate
+
+
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def quality_verdicts(docs: DataFrame, lang: str = "lang", source: str = "source", limit: float = LIMIT) -> DataFrame:
+    """``doc_id``, the statistics, ``base_failed``, ``distance`` and ``kept`` of each row of ``docs``.
+
+    A text that fails a fixed limit is not part of its group's estimate; its
+    distance is null. A null language or source counts as the empty one. A
+    group of few or equal texts has the least spread, so none of them is an
+    outlier by itself. A null or empty text fails by its number of words.
+    Repeated rows are judged alike, each one; an empty table gives an empty
+    result. Other columns are left out.
+    """
+    rows = _prepared(docs, lang, source, F.col("doc_id"))
+    rows = stored(rows.select("doc_id", *_GROUP, *_COUNTS, "base_failed", *_vector()))
+    passed = _distance(rows.where("NOT base_failed"), _estimated(rows)).withColumn("kept", F.col("_d") <= limit)
     failed = rows.where("base_failed").withColumns({"_d": F.lit(None).cast("double"), "kept": F.lit(False)})
-    return passed.unionByName(failed).select("doc_id", *names, "base_failed", F.col("_d").alias("distance"), "kept")
+    return passed.unionByName(failed).select("doc_id", *_COUNTS, "base_failed", F.col("_d").alias("distance"), "kept")
+
+
+def good_documents(docs: DataFrame, lang: str = "lang", source: str = "source", limit: float = LIMIT) -> DataFrame:
+    """The rows of ``docs`` that ``quality_verdicts`` keeps, with all their columns.
+
+    Texts are read twice, for the estimates and for the verdicts, and never
+    shuffled or joined by id, so ids may repeat or be null.
+    """
+    narrow = _prepared(docs, lang, source)
+    estimate = _estimated(stored(narrow.select(*_GROUP, "base_failed", *_vector())))
+    rows = _prepared(docs, lang, source, F.struct(*docs.columns).alias("_row")).where("NOT base_failed")
+    judged = _distance(rows.select("_row", *_GROUP, *_vector()), estimate)
+    return judged.where(F.col("_d") <= limit).select("_row.*")
