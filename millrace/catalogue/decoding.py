@@ -30,7 +30,7 @@ def _with_value(orders: DataFrame, value) -> DataFrame:
     )
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def pg_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relational events to rows."""
     orders = _orders(spark, sf_dir)
@@ -39,7 +39,7 @@ def pg_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
     name="snapshot_to_events",
 )
 def snapshot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,7 @@ def snapshot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS o_custkey,
            CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus,
            CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice,
+           CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS o_orderdate,
            CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS o_orderpriority
     FROM orders
     """
@@ -69,6 +70,7 @@ def pg_decode_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM', '5-LOW') THEN o_custkey END AS o_custkey,
            CASE WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM', '5-LOW') THEN o_orderstatus END AS o_orderstatus,
            CASE WHEN o_orderpriority IN ('3-MEDIUM', '5-LOW') THEN o_totalprice END AS o_totalprice,
+           CASE WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM', '5-LOW') THEN o_orderdate END AS o_orderdate,
            CASE WHEN o_orderpriority IN ('2-HIGH', '3-MEDIUM', '5-LOW') THEN o_orderpriority END AS o_orderpriority
     FROM orders
     """
@@ -81,17 +83,17 @@ def pg_decode_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     priority = F.col("o_orderpriority")
     rest = [F.col(name) for name in ("o_custkey", "o_orderstatus")]
-    key, price = F.col("o_orderkey"), F.col("o_totalprice")
-    intact = event_json(F.struct(key, *rest, price, priority)).cast("string")
+    key, price, date = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderdate")
+    intact = event_json(F.struct(key, *rest, price, date, priority)).cast("string")
     value = (
         F.when(priority == "1-URGENT", F.substring_index(intact, ",", 1))
         .when(
             priority == "2-HIGH",
-            event_json(F.struct(key, *rest, price.cast("string").alias("o_totalprice"), priority)).cast("string"),
+            event_json(F.struct(key, *rest, price.cast("string").alias("o_totalprice"), date, priority)).cast("string"),
         )
         .when(
             priority == "3-MEDIUM",
-            event_json(F.struct(key.alias("orderkey"), *rest, price, priority)).cast("string"),
+            event_json(F.struct(key.alias("orderkey"), *rest, price, date, priority)).cast("string"),
         )
         .when(priority == "5-LOW", intact)
     )
@@ -100,7 +102,7 @@ def pg_decode_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT o_orderkey, o_custkey, CAST(NULL AS VARCHAR) AS o_status, o_totalprice, o_orderpriority
+    SELECT o_orderkey, o_custkey, CAST(NULL AS VARCHAR) AS o_status, o_totalprice, o_orderdate, o_orderpriority
     FROM orders
     """
 )

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
     DoubleType,
+    IntegerType,
     LongType,
     StringType,
     StructField,
     StructType,
+    TimestampNTZType,
 )
 
 from millrace.sinks.topics import append_events
@@ -20,7 +22,7 @@ from millrace.sources.database import CONNECTIONS, Database
 from millrace.workspace import new_folder
 
 # What the stored documents hold.
-PERSON = "_id STRUCT<`$oid`: STRING>, nome STRING, idade INT, date STRING"
+PERSON = "_id STRUCT<`$oid`: STRING>, nome STRING, idade INT, date TIMESTAMP_NTZ"
 
 
 def row(**fields: type[DataType]) -> StructType:
@@ -28,28 +30,21 @@ def row(**fields: type[DataType]) -> StructType:
     return StructType([StructField(name, kind()) for name, kind in fields.items()])
 
 
-# What the order events declare.
+# The orders as their events declare them.
 ORDER_ROW = row(
     o_orderkey=LongType,
     o_custkey=LongType,
     o_orderstatus=StringType,
     o_totalprice=DoubleType,
+    o_orderdate=TimestampNTZType,
     o_orderpriority=StringType,
 )
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a test table.
-
-    A table of one small file is one row group, which only one task can read;
-    its rows are dealt out to all cores by the hash of all they hold. A table
-    with a split for every core, which is any large one, is read as it lies,
-    without a shuffle.
-    """
+    """Columns of a test table, read as it lies."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    df = df.select(*columns) if columns else df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, *df.columns) if df.rdd.getNumPartitions() < cores else df
+    return df.select(*columns) if columns else df
 
 
 def money_text(amount: Column) -> Column:
@@ -63,30 +58,51 @@ def write_delimited(df: DataFrame, folder: str, sep: str = ",") -> str:
     return path
 
 
+# The line items as text has them, and as the tables made from it.
+EXPENSE_TEXT = row(
+    l_orderkey=LongType,
+    l_partkey=LongType,
+    l_suppkey=LongType,
+    l_linenumber=IntegerType,
+    l_quantity=DoubleType,
+    valor=StringType,
+    l_discount=DoubleType,
+    l_tax=DoubleType,
+    l_returnflag=StringType,
+    l_linestatus=StringType,
+    l_shipdate=TimestampNTZType,
+)
+EXPENSE_SQL = """
+    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, round(l_extendedprice, 2) AS valor,
+           l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
+    FROM lineitem
+"""
+
+
 def expenses_text(spark: SparkSession, sf_dir: str, folder: str) -> str:
     """The line items as ``;``-separated text with their prices as money text."""
-    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
-    return write_delimited(
-        items.select("l_orderkey", "l_linenumber", money_text(F.col("l_extendedprice")).alias("valor")),
-        folder,
-        sep=";",
-    )
+    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_extendedprice", "valor")
+    return write_delimited(items.withColumn("valor", money_text(F.col("valor"))), folder, sep=";")
 
 
 def write_log(events: DataFrame, topic: str | None = None) -> str:
     """Write events out as a new log; see ``append_events`` for ``topic``."""
     log = f"{new_folder(events.sparkSession)}/log"
-    append_events(events, log, topic)
+    append_events(events, log, topic, first_offset=0)
     return log
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customers as documents; ``date`` is a field that decoders do not declare."""
+    """The customers as documents; ``date`` is a field that not all decoders declare."""
+    key = F.col("c_custkey").cast("int")
+    # The start of the orders, with as many days and microseconds as the key says.
+    date = F.make_timestamp_ntz(F.lit(1992), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    date = date + F.make_dt_interval(days=key % 1000, secs=(key / F.lit(1_000_000)).cast("decimal(18,6)"))
     return table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey").select(
         F.struct(F.lpad(F.lower(F.hex("c_custkey")), 24, "0").alias("$oid")).alias("_id"),
         F.col("c_name").alias("nome"),
         F.col("c_nationkey").alias("idade"),
-        F.lit("2001-04-25").alias("date"),
+        date.alias("date"),
     )
 
 

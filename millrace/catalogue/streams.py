@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType, TimestampNTZType
 
 from millrace.catalogue.inputs import ORDER_ROW, PERSON, people, row, table, write_log
 from millrace.catalogue.registry import query
@@ -19,7 +19,9 @@ from millrace.sources.topics import end_offset, event_log, event_log_stream
 from millrace.streaming.sinks import finish, start_files
 from millrace.workspace import new_folder
 
-EVENT_ROW = row(event_id=LongType, user_id=LongType, event_type=StringType, value=DoubleType)
+EVENT_ROW = row(
+    event_id=LongType, ts=TimestampNTZType, user_id=LongType, event_type=StringType, value=DoubleType, props=StringType
+)
 ORDERS = topic_name("shop", "public", "orders")
 CLICKS = topic_name("shop", "public", "events")
 STUDENTS = topic_name("school", "people", "students")
@@ -30,49 +32,48 @@ def _orders_log(spark: SparkSession, sf_dir: str) -> str:
     return write_log(snapshot_to_events(orders, ["o_orderkey"], ORDERS), ORDERS)
 
 
+def _filed(rows: DataFrame) -> DataFrame:
+    """What a stream writes to files; they stay, as the result is read from them."""
+    folder = new_folder(rows.sparkSession)
+    finish(start_files(rows, f"{folder}/rows", f"{folder}/checkpoint", bounded=True))
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
 def _people_log(spark: SparkSession, sf_dir: str) -> str:
     return write_log(documents_to_events(people(spark, sf_dir), STUDENTS), STUDENTS)
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events")
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def stream_pg_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A topic as a table that SQL names; on the driver only while it is small.
-
-    The log's row count comes from the footers of its files.
-    """
+    """A topic as a table that SQL names, kept in files like any other."""
     clicks = table(spark, sf_dir, "events", *EVENT_ROW.names)
     log = write_log(snapshot_to_events(clicks, ["event_id"], CLICKS), CLICKS)
-    return rows_to_view(
-        event_log_stream(spark, log, CLICKS),
-        "clicks",
-        EVENT_ROW,
-        expected_rows=event_log(spark, log, CLICKS).count(),
-    )
+    return rows_to_view(event_log_stream(spark, log, CLICKS), "clicks", EVENT_ROW)
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def stream_pg_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A topic of unknown size as a table that SQL names, kept in files."""
+    """A topic as a table that SQL names, of rows with dates."""
     log = _orders_log(spark, sf_dir)
     return rows_to_view(event_log_stream(spark, log, ORDERS), "orders_of_topic", ORDER_ROW)
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def stream_pg_console(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relational topic on the console; the result is the same topic decoded whole."""
+    """A relational topic on the console, and the rows of the same stream in files beside it."""
     log = _orders_log(spark, sf_dir)
-    finish(rows_to_console(event_log_stream(spark, log, ORDERS), ORDER_ROW, bounded=True))
-    return decode_rows(event_log(spark, log, ORDERS), ORDER_ROW)
+    stream = event_log_stream(spark, log, ORDERS)
+    finish(rows_to_console(stream, ORDER_ROW, bounded=True))
+    return _filed(decode_rows(stream, ORDER_ROW))
 
 
 @query("SELECT c_name AS nome, c_nationkey AS idade FROM customer")
 def stream_mongo_console(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document topic on the console; the result is the same topic decoded whole."""
+    """A document topic on the console, and the rows of the same stream in files beside it."""
     log = _people_log(spark, sf_dir)
-    finish(documents_to_console(event_log_stream(spark, log, STUDENTS), bounded=True))
-    return decode_documents(
-        event_log(spark, log, STUDENTS), PERSON_DOCUMENT, {"nome": "nome", "idade": "idade"}
-    )
+    stream = event_log_stream(spark, log, STUDENTS)
+    finish(documents_to_console(stream, bounded=True))
+    return _filed(decode_documents(stream, PERSON_DOCUMENT, {"nome": "nome", "idade": "idade"}))
 
 
 @query("SELECT c_name AS nome, c_nationkey AS idade FROM customer")
@@ -92,7 +93,7 @@ def stream_mongo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream started again adds what the log gained and nothing else.
 
@@ -109,7 +110,7 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
         finish(start_files(rows, f"{folder}/rows", f"{folder}/checkpoint", bounded=True))
         return rows.schema
 
-    append_events(snapshot_to_events(orders.where(~urgent), ["o_orderkey"], ORDERS), log, ORDERS)
+    append_events(snapshot_to_events(orders.where(~urgent), ["o_orderkey"], ORDERS), log, ORDERS, first_offset=0)
     run()
     append_events(
         snapshot_to_events(orders.where(urgent), ["o_orderkey"], ORDERS),
@@ -124,7 +125,7 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
     FROM orders WHERE o_orderstatus = 'F'
     """
 )
@@ -137,3 +138,29 @@ def topic_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     finished = topic_name("shop", "public", "orders_f")
     return rows_to_view(event_log_stream(spark, log, finished), "finished_orders", ORDER_ROW)
+
+
+@query(f"SELECT {', '.join(ORDER_ROW.names)} FROM orders")
+def stream_before_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that subscribes before the first event finds nothing, and started again everything."""
+    folder = new_folder(spark)
+    log = f"{folder}/log"
+    orders = table(spark, sf_dir, "orders", *ORDER_ROW.names)
+    for events in (None, snapshot_to_events(orders, ["o_orderkey"], ORDERS)):
+        if events is not None:
+            append_events(events, log, ORDERS, first_offset=0)
+        rows = decode_rows(event_log_stream(spark, log, ORDERS), ORDER_ROW)
+        finish(start_files(rows, f"{folder}/rows", f"{folder}/checkpoint", bounded=True))
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+@query("SELECT 2 * count(*) AS records, 2 * count(*) AS places FROM customer")
+def captured_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection captured twice into one topic: as many places in the log as records."""
+    folder = new_folder(spark)
+    append_documents(people(spark, sf_dir), f"{folder}/students")
+    for _ in range(2):
+        topic = capture_collection(spark, f"{folder}/students", PERSON, f"{folder}/log", "school", "people", "students")
+    return event_log(spark, f"{folder}/log", topic).agg(
+        F.count("*").alias("records"), F.countDistinct("partition", "offset").alias("places")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.catalogue.inputs import expenses_text, money_text, table, write_delimited
+from millrace.catalogue.inputs import EXPENSE_SQL, EXPENSE_TEXT, expenses_text, money_text, table, write_delimited
 from millrace.catalogue.registry import query
 from millrace.plans.tables import preview_delimited, read_money
 from millrace.sinks.files import write_stage
@@ -32,17 +32,27 @@ def csv_comma_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS valor FROM lineitem")
+@query(EXPENSE_SQL)
 def csv_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``;``-separated text with a declared schema and a money column."""
     return read_money(
         spark,
         expenses_text(spark, sf_dir, new_folder(spark)),
         money=["valor"],
-        schema="l_orderkey BIGINT, l_linenumber INT, valor STRING",
+        schema=EXPENSE_TEXT,
     )
 
 
+@query("SELECT l_orderkey, l_linenumber, floor(l_extendedprice) AS valor FROM lineitem")
+def csv_money_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Money under a header in another case, which inference alone would take for numbers."""
+    items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
+    marked = F.translate(F.format_number(F.floor("l_extendedprice"), 0), ",", ".")
+    path = write_delimited(items.select("l_orderkey", "l_linenumber", marked.alias("VALOR")), new_folder(spark), sep=";")
+    rows = read_money(spark, path, money=["valor"])
+    return rows.select(F.col("l_orderkey").cast("bigint"), "l_linenumber", F.col("valor").alias("valor"))
+
+
 @query(
     """
     SELECT l_orderkey, l_linenumber, l_returnflag,

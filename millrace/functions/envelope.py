@@ -34,8 +34,13 @@ PERSON_DOCUMENT = StructType(
     ]
 )
 
+# Timestamps are written to the microsecond, which is all that they hold.
+TIMESTAMPS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 # NULL fields are written out, so that a deletion reads {"payload":{"after":null}}.
-_KEEP_NULLS = {"ignoreNullFields": "false"}
+_WHOLE = {"ignoreNullFields": "false", **TIMESTAMPS}
 
 
 def _envelope(after) -> StructType:
@@ -63,12 +68,12 @@ def after_document(value: Column, document: StructType) -> Column:
 
 def json_bytes(value: Column) -> Column:
     """A struct as a JSON object in bytes."""
-    return F.to_json(value, _KEEP_NULLS).cast("binary")
+    return F.to_json(value, _WHOLE).cast("binary")
 
 
 def row_json(columns: Sequence[str]) -> Column:
     """All given columns as one JSON object in text."""
-    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), _KEEP_NULLS)
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), _WHOLE)
 
 
 def event_json(after: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +18,13 @@ from millrace.functions.envelope import event_json, json_bytes, row_json
 
 
 def topic_name(prefix: str, namespace: str, table: str | Column) -> str | Column:
-    """Topic of one table: ``prefix.namespace.table``, of each row if ``table`` is a column."""
+    """Topic of one table: ``prefix.namespace.table``, of each row if ``table`` is a column.
+
+    A row whose table is NULL fails: it belongs to no topic.
+    """
     if isinstance(table, Column):
-        return F.concat_ws(".", F.lit(prefix), F.lit(namespace), table)
+        unknown = F.raise_error(F.lit("a row names no table for its topic")).cast("string")
+        return F.concat(F.lit(f"{prefix}.{namespace}."), F.coalesce(table, unknown))
     return ".".join((prefix, namespace, table))
 
 
@@ -77,16 +81,18 @@ def capture_tables(
 
 
 def _once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same rows, or a failure when two of them have one key.
+    """The same rows, or a failure when two of them have one key or one has none.
 
     Counting by key needs the rows where and as a merge join on the key needs
     them, so it adds neither a shuffle nor a sort to one.
     """
     rows = F.count(F.lit(1)).over(Window.partitionBy(*[f"`{k}`" for k in keys]))
     several = F.raise_error(F.lit(f"more than one row for a key of {list(keys)}"))
+    missing = F.raise_error(F.lit(f"NULL in a key of {list(keys)}"))
+    empty = reduce(or_, [F.col(f"`{k}`").isNull() for k in keys])
     counted = df.withColumn("__rows", rows)
     return counted.where(
-        F.when(F.col("__rows") > 1, several.cast("boolean")).otherwise(True)
+        F.when(empty, missing.cast("boolean")).when(F.col("__rows") > 1, several.cast("boolean")).otherwise(True)
     ).drop("__rows")
 
 
@@ -95,18 +101,18 @@ def diff_to_events(
     new: DataFrame,
     keys: Sequence[str],
     topic: str,
-    check_keys: bool = True,
 ) -> DataFrame:
     """Two states of a table as events for inserted, updated and deleted rows.
 
     ``keys`` is the primary key: never NULL and at most once in each state, so
     the rows spread evenly over the shuffle on it. That shuffle, one a side, is
     the only one; rows that did not change are dropped as the sides are merged.
-    Were a key to occur often on both sides, all its pairs would come out of the
-    join; the job fails before that, unless ``check_keys`` is off for keys that
-    a database already guarantees.
+    The job fails on a key that is NULL or occurs twice. Both states have the
+    same columns; a column that only one of them has is an error.
     """
     columns = new.columns
+    if odd := sorted(set(old.columns) ^ set(columns)):
+        raise ValueError(f"columns in one state only: {odd}")
 
     def was(name: str) -> Column:
         return F.col(f"`__old_{name}`")
@@ -118,9 +124,8 @@ def diff_to_events(
         *[now(c).alias(f"__old_{c}") for c in columns], F.lit(True).alias("__was")
     )
     after = new.select(*[now(c) for c in columns], F.lit(True).alias("__is"))
-    if check_keys:
-        before = _once(before, [f"__old_{k}" for k in keys])
-        after = _once(after, keys)
+    before = _once(before, [f"__old_{k}" for k in keys])
+    after = _once(after, keys)
     both = before.join(after, reduce(and_, [was(k) == now(k) for k in keys]), "full")
     unchanged = [was(c).eqNullSafe(now(c)) for c in columns if c not in keys]
     kept = reduce(and_, unchanged, F.col("__was").eqNullSafe(F.col("__is")))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +15,14 @@ def decode_rows(events: DataFrame, row: StructType, drop_empty: bool = False) ->
     """Relational events as one row each, with the columns of ``row``.
 
     Deletions and unreadable events stay in the result as rows of NULLs unless
-    ``drop_empty`` is set. Dropping goes through a generator, because a filter
-    on decoded fields would make Spark parse every event twice.
+    ``drop_empty`` is set; a live row stays even if all its declared fields are
+    NULL. Dropping goes through a generator, because a filter on the decoded row
+    would make Spark parse every event twice.
     """
     after = after_row(F.col("value"), row)
     if not drop_empty:
         return events.select(after.alias("after")).select("after.*")
-
-    def has_value(item):
-        return reduce(or_, [item[f.name].isNotNull() for f in row])
-
-    return events.select(F.inline(F.filter(F.array(after), has_value)))
+    return events.select(F.inline(F.filter(F.array(after), lambda item: item.isNotNull())))
 
 
 def decode_documents(

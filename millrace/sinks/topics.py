@@ -10,7 +10,7 @@ _ROW_BITS = 33
 
 
 def append_events(
-    events: DataFrame, log: str, topic: str | None = None, first_offset: int = 0
+    events: DataFrame, log: str, topic: str | None = None, *, first_offset: int
 ) -> None:
     """Add events (``key``, ``value``, ``topic``) to a file log, a folder per topic.
 
@@ -19,8 +19,9 @@ def append_events(
 
     Every task acts as a producer with a partition of its own: it numbers its
     rows by itself, so nothing is shuffled and a topic with most of the events
-    is written by as many tasks as there are. A second append to a topic starts
-    at ``first_offset = end_offset(...)`` to keep (partition, offset) unique.
+    is written by as many tasks as there are. A first append to a topic starts at
+    ``first_offset=0``, any later one at ``end_offset(...)``, which keeps
+    (partition, offset) unique.
     """
     row = F.monotonically_increasing_id()
     records = events.select(

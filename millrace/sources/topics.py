@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -31,9 +32,9 @@ TOPIC_RECORD = StructType(
 )
 
 # A replay starts from the oldest record however old it is, so no file is ever
-# skipped for its age; a batch takes files up to this size.
+# skipped for its age; a batch takes files up to this size of each topic.
 FILE_AGE_LIMIT = "36500d"
-BATCH_BYTES = 1 << 40
+BATCH_BYTES = 1 << 34
 
 
 _LOGGED = StructType([f for f in TOPIC_RECORD if f.name != "topic"])
@@ -41,7 +42,25 @@ _LOGGED = StructType([f for f in TOPIC_RECORD if f.name != "topic"])
 
 def _names(topics: str | Sequence[str]) -> list[str]:
     names = topics.split(",") if isinstance(topics, str) else list(topics)
-    return [name.strip() for name in names]
+    return list(dict.fromkeys(name.strip() for name in names))
+
+
+def _folder(log: str, topic: str) -> str:
+    return f"{log}/topic={topic}"
+
+
+def _records(spark: SparkSession, log: str, topic: str) -> DataFrame | None:
+    """The records of one topic, or None while it has no folder."""
+    try:
+        return spark.read.schema(_LOGGED).parquet(_folder(log, topic))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _named(records: DataFrame, topic: str) -> DataFrame:
+    return records.withColumn("topic", F.lit(topic)).select(*TOPIC_RECORD.names)
 
 
 def kafka_stream(
@@ -69,11 +88,12 @@ def kafka_stream(
 def event_log(spark: SparkSession, log: str, topics: str | Sequence[str]) -> DataFrame:
     """The subscribed topics of a log as a bounded frame.
 
-    The log has a folder per topic, so the files of other topics are listed at
-    most and not read. A topic the log does not know is empty.
+    The log has a folder per topic; those of other topics are not even listed.
+    A topic the log does not know is empty.
     """
-    subscribed = F.col("topic").isin(_names(topics))
-    return spark.read.schema(TOPIC_RECORD).parquet(log).where(subscribed).select(*TOPIC_RECORD.names)
+    found = [(topic, _records(spark, log, topic)) for topic in _names(topics)]
+    frames = [_named(records, topic) for topic, records in found if records is not None]
+    return reduce(DataFrame.union, frames or [spark.createDataFrame([], TOPIC_RECORD)])
 
 
 def event_log_stream(
@@ -86,17 +106,20 @@ def event_log_stream(
 
     Each topic is a file source of its own: the folders of other topics are not
     even listed. What is due is taken in batches of ``batch_bytes`` a topic, so
-    that a restart with a checkpoint repeats one batch and not the whole log.
+    that a restart with a checkpoint repeats one batch and not the whole log. A
+    topic without events gets an empty file, and its stream waits for them.
     """
 
     def one(topic: str) -> DataFrame:
+        if _records(spark, log, topic) is None:
+            spark.createDataFrame([], _LOGGED).write.mode("append").parquet(_folder(log, topic))
         records = (
             spark.readStream.schema(_LOGGED)
             .option("maxFileAge", FILE_AGE_LIMIT)
             .option("maxBytesPerTrigger", batch_bytes)
-            .parquet(f"{log}/topic={topic}")
+            .parquet(_folder(log, topic))
         )
-        return records.withColumn("topic", F.lit(topic)).select(*TOPIC_RECORD.names)
+        return _named(records, topic)
 
     return reduce(DataFrame.union, [one(topic) for topic in _names(topics)])
 

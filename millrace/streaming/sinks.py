@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from millrace.operators.preview import PREVIEW_ROWS
-from millrace.workspace import new_folder
+from millrace.workspace import drop_folder, new_folder
 
-# The rows of a memory table are kept by the driver.
-DRIVER_ROWS = 100_000
+# Folders of queries whose checkpoint nobody needs after their end, by query.
+_passing: dict[str, tuple[SparkSession, str]] = {}
 
 
-def _writer(rows: DataFrame, checkpoint: str | None, bounded: bool) -> DataStreamWriter:
-    """Append writer; without a checkpoint every start replays from the beginning."""
-    checkpoint = checkpoint or f"{new_folder(rows.sparkSession)}/checkpoint"
+def _writer(rows: DataFrame, checkpoint: str, bounded: bool) -> DataStreamWriter:
     writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if bounded else writer
 
 
+def _start_passing(rows: DataFrame, bounded: bool, begin) -> StreamingQuery:
+    """Start a query that replays from the beginning every time; ``finish`` removes its folder."""
+    folder = new_folder(rows.sparkSession)
+    query = begin(_writer(rows, f"{folder}/checkpoint", bounded))
+    _passing[query.id] = (rows.sparkSession, folder)
+    return query
+
+
 def start_memory(rows: DataFrame, name: str, bounded: bool = False) -> StreamingQuery:
-    """Keep the rows on the driver under a table name; for results of known small size."""
-    return _writer(rows, None, bounded).format("memory").queryName(name).start()
+    """Keep the rows on the driver under a table name.
+
+    The driver holds every row: this is for results of known small size, some
+    100,000 rows at most. ``named_result`` has no such limit.
+    """
+    return _start_passing(rows, bounded, lambda writer: writer.format("memory").queryName(name).start())
 
 
 def start_files(
@@ -35,7 +45,6 @@ def start_console(
     rows: DataFrame,
     truncate: bool = True,
     shown: int = PREVIEW_ROWS,
-    checkpoint: str | None = None,
     bounded: bool = False,
 ) -> StreamingQuery:
     """Print the first rows of every batch.
@@ -50,32 +59,34 @@ def start_console(
         print(f"{line}\nBatch: {batch_id}\n{line}")
         batch.show(shown, truncate)
 
-    return _writer(rows, checkpoint, bounded).foreachBatch(show).start()
+    return _start_passing(rows, bounded, lambda writer: writer.foreachBatch(show).start())
 
 
 def finish(query: StreamingQuery, timeout: float | None = None) -> None:
-    """Wait until a query has ended; raise what it raised, or when time is up."""
-    if timeout is None:
-        query.awaitTermination()
-    elif not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"stream {query.name or query.id} did not end in {timeout} s")
-
+    """Wait until a query has ended; raise what it raised, or when time is up.
 
-def named_result(
-    rows: DataFrame, name: str, expected_rows: int | None = None, folder: str | None = None
-) -> DataFrame:
+    The checkpoint of a console or memory query is removed, as nothing starts from it again.
+    """
+    try:
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
+            query.stop()
+            raise TimeoutError(f"stream {query.name or query.id} did not end in {timeout} s")
+    finally:
+        if folder := _passing.pop(query.id, None):
+            drop_folder(*folder)
+
+
+def named_result(rows: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Run a stream over all that is due and make its rows a table called ``name``.
 
-    A result known to be small (``expected_rows``) goes to a memory table. Any
-    other, or one of unknown size, goes to Parquet files below ``folder`` and a
-    view on them; run again with the same ``folder`` it only adds what is new.
+    The rows go to Parquet files below ``folder``, however many they are, and
+    the table is a view on them; run again with the same ``folder`` it only adds
+    what is new. For a table on the driver see ``start_memory``.
     """
     spark = rows.sparkSession
-    if folder is None and expected_rows is not None and expected_rows <= DRIVER_ROWS:
-        finish(start_memory(rows, name, bounded=True))
-    else:
-        folder = folder or new_folder(spark)
-        finish(start_files(rows, f"{folder}/rows", f"{folder}/checkpoint", bounded=True))
-        spark.read.schema(rows.schema).parquet(f"{folder}/rows").createOrReplaceTempView(name)
+    folder = folder or new_folder(spark)
+    finish(start_files(rows, f"{folder}/rows", f"{folder}/checkpoint", bounded=True))
+    spark.read.schema(rows.schema).parquet(f"{folder}/rows").createOrReplaceTempView(name)
     return spark.sql(f"SELECT * FROM `{name}`")

@@ -20,3 +20,13 @@ def new_folder(spark: SparkSession) -> str:
     if spark.conf.get("spark.master", "").startswith("local"):
         return tempfile.mkdtemp(prefix="run-", dir="/tmp")
     raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of ``new_folder``; a remote session, which has no file access, leaves it."""
+    if "run-" not in folder.rsplit("/", 1)[-1]:
+        raise ValueError(f"not a folder of a run: {folder}")
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

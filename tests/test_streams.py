@@ -17,7 +17,6 @@ from millrace.plans.topics import documents_to_console, rows_to_console, rows_to
 from millrace.sinks.topics import append_events
 from millrace.sources.topics import event_log, event_log_stream, kafka_stream
 from millrace.streaming.sinks import (
-    DRIVER_ROWS,
     finish,
     named_result,
     start_console,
@@ -34,7 +33,7 @@ def _rows(spark, start: int, end: int):
 
 
 def _append(spark, log: str, start: int, end: int, topic: str = TOPIC) -> None:
-    append_events(snapshot_to_events(_rows(spark, start, end), ["id"], topic), log, topic)
+    append_events(snapshot_to_events(_rows(spark, start, end), ["id"], topic), log, topic, first_offset=start)
 
 
 def _ids(df) -> list[int]:
@@ -94,28 +93,62 @@ def test_no_file_is_too_old(spark, folder):
 def test_only_subscribed_topics(spark, folder):
     for i, topic in enumerate(["t.a.b", "t.a.c", "t.a.d"]):
         _append(spark, folder, 10 * i, 10 * i + 10, topic)
-    one = named_result(decode_rows(event_log_stream(spark, folder, "t.a.c"), ROW), "one", 10)
+    one = named_result(decode_rows(event_log_stream(spark, folder, "t.a.c"), ROW), "one")
     assert _ids(one) == list(range(10, 20))
     two = event_log_stream(spark, folder, ["t.a.b", "t.a.d"])
-    topics = named_result(two.select("topic"), "two", 20).groupBy("topic").count().collect()
+    topics = named_result(two.select("topic"), "two").groupBy("topic").count().collect()
     assert sorted(map(tuple, topics)) == [("t.a.b", 10), ("t.a.d", 10)]
 
 
-@pytest.mark.parametrize("expected_rows", [30, DRIVER_ROWS + 1, None])
-def test_named_result_in_memory_or_files(spark, folder, expected_rows):
+def test_named_result_lies_in_files(spark, folder):
     _append(spark, folder, 0, 30)
     for _ in range(2):  # a name can be used again
-        df = rows_to_view(event_log_stream(spark, folder, TOPIC), "result", ROW, expected_rows)
+        df = rows_to_view(event_log_stream(spark, folder, TOPIC), "result", ROW)
         assert _ids(df) == list(range(30))
     assert spark.sql("SELECT count(*) AS n FROM result").first().n == 30
-    assert bool(df.inputFiles()) == (expected_rows != 30)
+    assert df.inputFiles()
+
+
+def test_memory_table(spark, folder):
+    _append(spark, folder, 0, 30)
+    finish(start_memory(decode_rows(event_log_stream(spark, folder, TOPIC), ROW), "held", bounded=True))
+    assert _ids(spark.table("held")) == list(range(30)) and not spark.table("held").inputFiles()
+
+
+def test_topics_named_twice_are_read_once(spark, folder):
+    _append(spark, folder, 0, 10)
+    rows = decode_rows(event_log_stream(spark, folder, f"{TOPIC},{TOPIC}"), ROW)
+    assert _ids(named_result(rows, "once")) == list(range(10))
+
+
+def test_a_stream_waits_for_the_first_event(spark, folder):
+    log = f"{folder}/log"
+    query = start_memory(decode_rows(event_log_stream(spark, log, TOPIC), ROW), "waiting")
+    try:
+        query.processAllAvailable()
+        assert _ids(spark.table("waiting")) == []
+        _append(spark, log, 0, 5)
+        query.processAllAvailable()
+        assert _ids(spark.table("waiting")) == list(range(5))
+    finally:
+        query.stop()
+
+
+def test_no_checkpoint_is_left_behind(spark, folder, monkeypatch):
+    monkeypatch.setattr("millrace.streaming.sinks.new_folder", lambda _: f"{folder}/run-1")
+    _append(spark, f"{folder}/log", 0, 3)
+    rows = decode_rows(event_log_stream(spark, f"{folder}/log", TOPIC), ROW)
+    for start in (start_console, lambda r, bounded: start_memory(r, "gone", bounded)):
+        query = start(rows, bounded=True)
+        finish(query)
+        assert not os.path.exists(f"{folder}/run-1")
 
 
 def test_named_result_goes_on_in_its_folder(spark, folder):
     log, kept = f"{folder}/log", f"{folder}/kept"
     for end in (10, 25):
         _append(spark, log, 0 if end == 10 else 10, end)
-        df = rows_to_view(event_log_stream(spark, log, TOPIC), "kept", ROW, expected_rows=5, folder=kept)
+        df = rows_to_view(event_log_stream(spark, log, TOPIC), "kept", ROW, folder=kept)
         assert _ids(df) == list(range(end))
 
 
@@ -156,23 +189,23 @@ def test_documents_on_the_console(spark, folder, capsys):
     people = spark.createDataFrame(
         [(("65",), "Ana", 23, "2001")], "_id struct<`$oid`:string>, nome string, idade int, date string"
     )
-    append_events(documents_to_events(people, TOPIC), folder)
+    append_events(documents_to_events(people, TOPIC), folder, first_offset=0)
     finish(documents_to_console(event_log_stream(spark, folder, TOPIC), bounded=True))
     out = capsys.readouterr().out
     assert "|nome|idade|" in out and "| Ana|   23|" in out
     stream = decode_documents(event_log_stream(spark, folder, TOPIC), PERSON_DOCUMENT)
-    assert named_result(stream, "people", 1).first().asDict(recursive=True) == {
+    assert named_result(stream, "people").first().asDict(recursive=True) == {
         "_id": {"$oid": "65"}, "nome": "Ana", "idade": 23,
     }
 
 
 def test_damaged_events_do_not_stop_a_stream(spark, folder):
     values = [(None, None, TOPIC), (None, bytearray(b"{"), TOPIC), (None, bytearray(b'{"payload":{}}'), TOPIC)]
-    append_events(spark.createDataFrame(values, "key binary, value binary, topic string"), folder)
+    append_events(spark.createDataFrame(values, "key binary, value binary, topic string"), folder, first_offset=0)
     _append(spark, folder, 0, 2)
     stream = event_log_stream(spark, folder, TOPIC)
-    assert named_result(decode_rows(stream, ROW), "all_rows", 5).count() == 5
-    assert _ids(named_result(decode_rows(stream, ROW, drop_empty=True), "full_rows", 5)) == [0, 1]
+    assert named_result(decode_rows(stream, ROW), "all_rows").count() == 5
+    assert _ids(named_result(decode_rows(stream, ROW, drop_empty=True), "full_rows")) == [0, 1]
 
 
 def test_errors_of_a_query_are_raised(spark, folder):
