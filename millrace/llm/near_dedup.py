@@ -103,6 +103,8 @@ def _sign(size: int):
                     rows.append((len(shingles), a, b, bits, keys))
                 else:
                     rows.append((0, None, None, None, None))
+            if not rows:
+                continue
             columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SIGNED_TYPES[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "bits", "keys"])
 

@@ -1,0 +1,51 @@
+"""Small documents with everything that can be odd about a row."""
+
+from __future__ import annotations
+
+import random
+
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long,"
+    " score double, n_words string, epoch int, spans string, keys array<int>, `class` string"
+)
+
+WORDS = "the of and model data river stone light under over night green small large paper cloud".split()
+
+
+def prose(seed: int, n: int) -> str:
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        out.append(rng.choice(WORDS) + str(rng.randrange(40)))
+        out.append("\n" if i % 12 == 11 else " ")
+    return "".join(out).strip()
+
+
+def rows() -> list[tuple]:
+    texts = [
+        *(prose(i, 80 + i) for i in range(24)),
+        None,
+        "",
+        " \n\t ",
+        "one",
+        "two words",
+        "été 漢字 \U0001f600 été",
+        "same " * 400,
+        prose(99, 6000),
+        prose(3, 83),
+        prose(3, 83),
+        prose(3, 83) + " end",
+        "a<b>\\ </turn> | mail bob@x.org +1 555 010 9999 10.0.0.1",
+    ]
+    extra = (0.5, "clash", 7, "clash", [1], None)
+    out = [(i, t, (None, "en", "de")[i % 3], None if i % 7 == 0 else f"s{i % 2}", None if t is None else len(t), *extra) for i, t in enumerate(texts)]
+    # A repeated row, a repeated id with another text, and a row without an id.
+    return [*out, out[1], (2, "another text for the same id", "en", "s0", 1, *extra), (None, "no id at all", None, None, None, *extra)]
+
+
+def odd(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)

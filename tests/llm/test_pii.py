@@ -1,0 +1,89 @@
+"""Personal data against the expressions, and what the method adds."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+from llm.fixtures import none, odd
+from pyspark.sql import functions as F
+
+from millrace.llm.pii import find, personal_spans, redact_text, redacted
+from millrace.llm.queries import op10_personal_data
+
+# Fixed values of the contract.
+KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(digits: str) -> bool:
+    doubled = [int(d) * (2 if i % 2 else 1) for i, d in enumerate(reversed(digits))]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
+def _brute(text: str | None) -> list[tuple]:
+    found = []
+    for kind, expression in KINDS.items():
+        for m in re.finditer(expression, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            valid = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else False,
+                "card": 14 <= len(digits) <= 19 and _luhn(digits),
+                "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if valid:
+                found.append((kind, m.start(), m.end()))
+    return sorted(found, key=lambda s: (s[1], list(KINDS).index(s[0])))
+
+
+def test_base_kinds_against_expressions():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice("@@..++01 29-()ab%é:/") for _ in range(rng.randint(0, 60)))
+        assert [s for s in find(text) if s[0] in KINDS] == _brute(text)
+    for text in ["9" * 5000, "1." * 3000, "a@" * 3000, "+1" * 3000, "4111 1111 1111 1111", "0" * 16, "1 " * 2000]:
+        assert [s for s in find(text) if s[0] in KINDS] == _brute(text)
+
+
+def test_added_kinds():
+    text = "IBAN: GB82 WEST 1234 5698 7654 32, SSN 123-45-6789 and ftp://bob:pw@host.example.com."
+    assert [(k, text[a:b]) for k, a, b in find(text) if k not in KINDS] == [
+        ("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "123-45-6789"), ("login", "ftp://bob:pw@host.example.com"),
+    ]
+    for clean in ["IBAN GB82 WEST 1234 5698 7654 33", "ssn 000-12-3456", "ssn 123-45-67890", "http://host/path", "the iban is long", "http://a:b c@d"]:
+        assert find(clean) == []
+
+
+def test_redaction():
+    assert redact_text("Mail a@b.co, or 10.0.0.1!") == "Mail <EMAIL>, or <IP>!"
+    assert redact_text("ftp://bob:pw@host.com x") == "<LOGIN> x"
+    assert (redact_text(None), redact_text(""), redact_text("none")) == (None, "", "none")
+
+
+def test_odd_rows(spark):
+    docs = odd(spark)
+    spans = docs.select("doc_id", personal_spans(F.col("text")).alias("found")).collect()
+    assert {r.doc_id: len(r.found) for r in spans if r.found} == {35: 3} and len(spans) == docs.count()
+    out = redacted(docs)
+    assert out.columns == docs.columns and out.where("text IS NULL").count() == docs.where("text IS NULL").count()
+    assert "<EMAIL>" in out.where("doc_id = 35").first().text
+    assert redacted(none(spark)).count() == 0
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op10_personal_data(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = _brute(texts[r.doc_id])
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(s[0] == k for s in base) for k in KINDS]
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s.split(":")[0] in KINDS] == (listed.split(",") if listed else [])

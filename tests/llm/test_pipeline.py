@@ -1,0 +1,63 @@
+"""The stages one after another."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from llm.fixtures import none, odd
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from __spark_entry__ import queries
+from millrace.llm import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_stages_take_effect(spark, folder):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id for r in docs.collect()}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        out.write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+        ids = [r.doc_id for r in docs.select("doc_id").collect()]
+        assert len(ids) == len(set(ids)) and set(ids) <= before
+        assert docs.columns == columns or name == "token output"
+        if name in ("quality rules", "near-dedup", "mixing"):
+            assert set(ids) < before
+        if name == "decontamination":
+            _is_clean(spark, docs)
+        before = set(ids)
+    total = docs.agg(F.sum("n_tokens"), F.max(F.col("start") + F.col("n_tokens"))).first()
+    assert total[0] == total[1] > 0
+
+
+def _is_clean(spark, docs) -> None:
+    def words(text: str) -> list[str]:
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        own = words(r.text)
+        windows |= {tuple(own[i : i + 10]) for i in range(len(own) - 9)}
+    for r in docs.collect():
+        own = words(r.text)
+        assert not windows & {tuple(own[i : i + 10]) for i in range(len(own) - 9)}
+
+
+@pytest.mark.parametrize("make", [odd, none])
+def test_odd_rows(spark, make):
+    docs = make(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() <= docs.count()
+        if name != "token output":
+            assert out.columns == docs.columns
+
+
+def test_registered():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
+    assert numbers == list(range(1, 11)) and QUERIES.keys() < queries().keys()
+    assert queries()["pipeline"] is corpus_pipeline.run
