@@ -8,7 +8,9 @@
    compared with one hub of its bucket. Only where a bucket then still holds
    members of several components are these compared with the members of the
    others, so that no link between different texts is lost. Bits counted in
-   signatures, corrected for chance agreement, drop what cannot be similar.
+   signatures, corrected for chance agreement, drop what cannot be similar, and
+   so do exact distances to the same hub that differ by more than the threshold
+   allows: the distance of sets obeys the triangle inequality.
 4. Links are confirmed on the full sets, read again for candidates only.
 5. Components spread the smallest id along the links, in rounds, on Spark.
 """
@@ -25,16 +27,17 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import once_a_worker, stored
 
-PERMUTATIONS = 128
+PERMUTATIONS = 256
+# Buckets take the first minima, BANDS times _ROWS of them; estimates take all.
 BANDS = 32
 BITS = 2
 # Standard deviations below the threshold at which an estimate is still confirmed.
-MARGIN = 5.0
+MARGIN = 4.0
 # Members that are confirmed against one hub in one task.
 BLOCK = 256
 _KNOWN_WORDS = 400_000
 
-_ROWS = PERMUTATIONS // BANDS
+_ROWS = 4
 _LONGS = PERMUTATIONS * BITS // 64
 _random = np.random.default_rng(20)
 _MULTIPLY = _random.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -78,7 +81,7 @@ def _signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     minima = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 512):
         np.minimum(minima, (low[None, at : at + 512] * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1), out=minima)
-    rows = minima.reshape(BANDS, _ROWS).astype(np.uint64)
+    rows = minima[: BANDS * _ROWS].reshape(BANDS, _ROWS).astype(np.uint64)
     keys = np.arange(BANDS, dtype=np.uint64)
     for i in range(_ROWS):
         keys = _mixed(keys + rows[:, i])
@@ -86,6 +89,11 @@ def _signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.packbits(bits.ravel(), bitorder="little").view(np.int64)
 
 
+def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
+    whole = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return tuple(np.array([whole >> 64, whole & ((1 << 64) - 1)], np.uint64).view(np.int64).tolist())
+
+
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bits array<long>, keys array<long>"
 _SIGNED_TYPES = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
 
@@ -98,9 +106,7 @@ def _sign(size: int):
                 shingles = shingle_hashes(text, size)
                 if len(shingles):
                     keys, bits = _signature(shingles)
-                    whole = xxhash.xxh3_128_intdigest(shingles.tobytes())
-                    a, b = np.array([whole >> 64, whole & ((1 << 64) - 1)], np.uint64).view(np.int64).tolist()
-                    rows.append((len(shingles), a, b, bits, keys))
+                    rows.append((len(shingles), *_set_hash(shingles), bits, keys))
                 else:
                     rows.append((0, None, None, None, None))
             if not rows:
@@ -111,6 +117,19 @@ def _sign(size: int):
     return run
 
 
+def _texts(size: int):
+    """Texts whose set is the one that stands for their id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_set_hash(shingle_hashes(t, size)) for t in batch.column(1).to_pylist()]
+            wanted = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = pa.array([own == w for own, w in zip(sets, wanted, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["id", "text"]).filter(keep)
+
+    return run
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,45 +155,48 @@ def _similar(a: str, b: str, threshold: float) -> Column:
     return (F.least(n, m) >= threshold * F.greatest(n, m)) & (estimate >= threshold - MARGIN * deviation)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs ``a``, ``b`` whose sets have ``threshold`` of their union in common.
+_MEASURED = "a long, b long, linked boolean, distance double"
+
+
+def _measured(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` with the exact ``distance`` of their sets, and whether they are ``linked``.
 
     The pairs of one ``a`` are dealt out in blocks, each with a copy of its
     set; a set reaches a block once, and a task holds one block at a time.
     """
     place = Window.partitionBy("a", "_salt").orderBy("b")
     blocks = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(64)))
-    blocks = blocks.withColumn("_block", F.floor((F.row_number().over(place) - 1) / BLOCK))
-    blocks = stored(blocks)
+    blocks = stored(blocks.withColumn("_block", F.floor((F.row_number().over(place) - 1) / BLOCK)))
     hubs = blocks.select("a", "_salt", "_block").distinct()
     wanted = blocks.select(F.col("a").alias("id")).union(blocks.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = sets.select("doc_id", "text").mapInArrow(_sets(size), "id long, shingles array<long>")
+    sets = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(size), "id long, shingles array<long>")
     mine = hubs.join(sets, hubs["a"] == sets["id"]).select("a", "_salt", "_block", F.lit(None).cast("long").alias("b"), "shingles")
     theirs = blocks.join(sets, blocks["b"] == sets["id"]).select("a", "_salt", "_block", "b", "shingles")
-    dealt = mine.unionByName(theirs).repartition("a", "_salt", "_block").sortWithinPartitions("a", "_salt", "_block", F.col("b").asc_nulls_first())
-    per, out = threshold
+    block = ["a", "_salt", "_block"]
+    dealt = mine.unionByName(theirs).repartition(*block).sortWithinPartitions(*block, F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, np.empty(0, np.int64)
+        hub, own = None, np.empty(0, np.uint64)
         for batch in batches:
-            found: tuple[list, list] = ([], [])
+            found = []
             shingles = batch.column("shingles")
             values, ends = shingles.values.to_numpy(), shingles.offsets.to_numpy()
             for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                other = values[ends[i] : ends[i + 1]]
+                other = values[ends[i] : ends[i + 1]].view(np.uint64)
                 if b is None:
-                    hub, own = a, other.view(np.uint64).copy()
-                    continue
-                other = other.view(np.uint64)
-                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                common = int((own[at] == other).sum())
-                if a == hub and out * common >= per * (len(own) + len(other) - common):
-                    found[0].append(a)
-                    found[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+                    hub, own = a, other.copy()
+                elif a == hub:
+                    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    common = int((own[at] == other).sum())
+                    union = len(own) + len(other) - common
+                    found.append((a, b, 100 * common >= percent * union, 1 - common / union))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "linked", "distance"]
+            )
 
-    return stored(dealt.mapInArrow(run, "a long, b long"))
+    return stored(dealt.mapInArrow(run, _MEASURED))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -223,59 +245,70 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         F.max_by(F.struct("n_shingles", "set_a", "set_b", "bits", "keys"), F.struct("n_shingles", "set_a", "set_b")).alias("s")
     ).select("doc_id", "s.*")
     signed = stored(signed)
-    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class"))
-    classes = stored(classes)
+    classes = stored(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class")))
     members = signed.join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("id"))
-    one = signed.join(classes.withColumnRenamed("class", "doc_id").select("doc_id"), "doc_id", "left_semi")
-    one = stored(one.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits", "keys"))
-    buckets = one.select("id", "n", "bits", F.explode("keys").alias("key"))
+    one = signed.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    one = one.withColumnRenamed("n_shingles", "n")
+    buckets = one.select("id", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))
     shared = stored(shared.where("size > 1").drop("size"))
     buckets = stored(buckets.join(shared.select("key"), "key", "left_semi"))
     nodes = stored(buckets.select("id").distinct())
-
-    # Round 0 has the smallest id of each bucket as its hub, round 1 the largest.
-    links = tested = None
+    one = stored(one.join(nodes, "id", "left_semi").select("id", "n", "set_a", "set_b", "bits"))
+    named = docs.withColumnRenamed("doc_id", "id").join(one.select("id", "set_a", "set_b"), "id")
+    texts = named.select("id", "text", "set_a", "set_b").mapInArrow(_texts(size), "id long, text string")
+    texts = stored(texts.dropDuplicates(["id"]))
+
+    def measure(ends: DataFrame, before: DataFrame | None) -> DataFrame:
+        """All pairs measured so far, with those of ``ends`` that are new and may be similar."""
+        if before is not None:
+            ends = ends.join(before, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            ends = ends.join(one.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), F.col("bits").alias(f"{end}_bits")), end)
+        pairs = stored(ends.where(_similar("a", "b", threshold)).select("a", "b"))
+        found = _measured(pairs, texts, size, percent)
+        return found if before is None else stored(before.union(found))
+
+    # The smallest id of each bucket is its first hub, the largest its second.
+    tested = labels = None
     for hub in ("low", "high"):
-        hubs = shared.select("key", F.col(hub).alias("hub"))
-        pairs = buckets.join(hubs, "key").where("id != hub")
-        if links is not None:
-            labels = components(nodes, links)
-            pairs = pairs.join(labels, "id").withColumnRenamed("component", "own")
-            pairs = pairs.join(labels.select(F.col("id").alias("hub"), F.col("component").alias("theirs")), "hub").where("own != theirs")
+        pairs = buckets.join(shared.select("key", F.col(hub).alias("hub")), "key").where("id != hub")
+        if labels is not None:
+            pairs = pairs.join(labels.withColumnRenamed("component", "own"), "id")
+            pairs = pairs.join(labels.toDF("hub", "theirs"), "hub").where("own != theirs")
         ends = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        links, tested = _tested(ends, one, docs, size, percent, threshold, links, tested)
-    labels = components(nodes, links)
-    # Buckets that still hold several components: members of other components than the hub's meet all others.
+        tested = measure(ends, tested)
+        labels = components(nodes, tested.where("linked"))
+    # Buckets that still hold several components: members of other components than the first meet the others.
     marked = buckets.join(labels, "id")
     mixed = marked.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first != last")
-    marked = stored(marked.join(mixed, "key"))
-    left = marked.where("component != first").select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), F.col("component").alias("a_component"))
-    right = marked.select("key", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"), F.col("component").alias("b_component"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a_component") > F.col("b_component")) & _similar("a", "b", threshold))
-    ends = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, tested = _tested(ends, one, docs, size, percent, threshold, links, tested)
-    labels = components(nodes, links)
+    marked = marked.join(mixed, "key").join(shared, "key")
+    both = tested.select("a", "b", "distance").union(tested.select("b", "a", "distance"))
+    for hub in ("low", "high"):
+        far = both.toDF("id", hub, f"{hub}_distance")
+        marked = marked.join(far, ["id", hub], "left")
+        marked = marked.withColumn(f"{hub}_distance", F.when(F.col("id") == F.col(hub), 0.0).otherwise(F.col(f"{hub}_distance")))
+    marked = stored(marked.join(one.select("id", "n", "bits"), "id"))
+
+    def side(name: str) -> list[Column]:
+        return [F.col(c).alias(f"{name}_{c}") for c in ("n", "bits", "component", "low_distance", "high_distance")]
+
+    left = marked.where("component != first").select("key", F.col("id").alias("a"), *side("a"))
+    right = marked.select(F.col("key").alias("b_key"), F.col("id").alias("b"), *side("b"))
+    # A little more than the threshold allows, for the rounding of distances.
+    slack = 1 - threshold + 1e-9
+    near = _similar("a", "b", threshold)
+    for hub in ("low", "high"):
+        near = near & F.coalesce(F.abs(F.col(f"a_{hub}_distance") - F.col(f"b_{hub}_distance")) <= slack, F.lit(True))
+    across = left.join(right, (F.col("key") == F.col("b_key")) & (F.col("a_component") > F.col("b_component")) & near)
+    tested = measure(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tested)
+    labels = components(nodes, tested.where("linked"))
     found = members.join(labels, "id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _tested(ends, one, docs, size, percent, threshold, links, tested):
-    """The links and pairs so far with those of new pairs ``a``, ``b``."""
-    if tested is not None:
-        ends = ends.join(tested, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        side = one.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), F.col("bits").alias(f"{end}_bits"))
-        ends = ends.join(side, end)
-    pairs = stored(ends.where(_similar("a", "b", threshold)).select("a", "b"))
-    found = _confirmed(pairs, docs, size, (percent, 100))
-    if links is None:
-        return found, pairs
-    return links.union(found), tested.union(pairs)
-
-
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id, and all its columns.
 
