@@ -111,7 +111,34 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
-@query()
+# All pairs that share a shingle, and all that links reach: for small tables, as a check.
+OP6_SQL = r"""
+WITH RECURSIVE doc_words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, words[i : i + 2] AS shingle
+    FROM doc_words, unnest(range(1, greatest(len(words) - 1, 2))) AS u(i) WHERE len(words) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+    FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * pairs.n >= 85 * (x.n + y.n - pairs.n)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION SELECT doc_id, b FROM reached JOIN edges ON a = other
+)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query(OP6_SQL)
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), size=3, percent=85)
 
@@ -140,7 +167,58 @@ def mixed(docs: DataFrame, epochs: int = MIX_EPOCHS, percent: int = MIX_PERCENT)
     return mixture(docs, path, weights, budget, epochs, MIX_SEED)
 
 
-@query()
+def _divided_sql(level: str, up: str, weight: str, parents: str) -> str:
+    """One level of the tree as common table expressions: ``level`` names the nodes, ``up`` their parents' path."""
+    path, group = f"{up}{level}", f"PARTITION BY {up.rstrip(', ')}" if up else ""
+    before = f"OVER ({group} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    join = f"JOIN {parents} USING ({up.rstrip(', ')})" if up else f", {parents}"
+    return f"""
+{level}_nodes AS (
+    SELECT {path}, pb, w, cap FROM (SELECT {path}, sum(cap) AS cap, {weight} AS w FROM leaves GROUP BY {path}) {join}
+), {level}_full AS (
+    SELECT *, cap * (sum(w) OVER ({group}) - coalesce(sum(w) {before}, 0)) <= w * (pb - coalesce(sum(cap) {before}, 0)) AS is_full
+    FROM {level}_nodes
+), {level}_rest AS (
+    SELECT *, pb - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({group}) AS rest,
+        sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({group}) AS free,
+        sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({group} ORDER BY {level} ROWS UNBOUNDED PRECEDING) AS upto
+    FROM {level}_full
+), {level}_budget AS (
+    SELECT {path}, CASE WHEN is_full THEN cap ELSE rest * upto // free - rest * (upto - w) // free END AS pb FROM {level}_rest
+)"""
+
+
+def _case(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in weights.items())} ELSE 1 END"
+
+
+OP2_SQL = rf"""
+WITH docs AS (
+    SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s,
+        {list(DOMAINS)}[('0x' || substr(md5(coalesce(source, '')), 1, 1))::INTEGER % {len(DOMAINS)} + 1] AS d,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::HUGEINT AS n
+    FROM documents
+), leaves AS (SELECT d, l, s, sum(n) AS available, sum(n) * {MIX_EPOCHS} AS cap FROM docs GROUP BY ALL),
+root AS (SELECT least(sum(available) * {MIX_PERCENT} // 100, sum(cap)) AS pb FROM leaves),
+{_divided_sql("d", "", _case("d", DOMAINS), "root")},
+{_divided_sql("l", "d, ", _case("l", LANGUAGES), "d_budget")},
+{_divided_sql("s", "d, l, ", "1", "l_budget")},
+plan AS (SELECT d, l, s, pb // available AS whole, pb % available AS rest FROM s_budget JOIN leaves USING (d, l, s) WHERE pb > 0),
+shuffled AS (
+    SELECT docs.*, whole, rest, ('0x' || substr(md5('{MIX_SEED}:' || whole || ':' || doc_id), 1, 15))::BIGINT AS h
+    FROM docs JOIN plan USING (d, l, s)
+), placed AS (
+    SELECT *, coalesce(sum(n) OVER (
+        PARTITION BY d, l, s ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM shuffled
+)
+SELECT doc_id, lang, source, epoch::BIGINT AS epoch, n::BIGINT AS take_tokens FROM shuffled, unnest(range(whole::BIGINT)) AS u(epoch)
+UNION ALL
+SELECT doc_id, lang, source, whole::BIGINT, least(n, rest - before)::BIGINT FROM placed WHERE before < rest
+"""
+
+
+@query(OP2_SQL)
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     return rows.select("doc_id", "lang", "source", "epoch", "take_tokens")
@@ -165,7 +243,22 @@ def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, ranking).withColumn("predicted", (F.col("score") >= AT_THRESHOLD).cast("int"))
 
 
-@query()
+OP5_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length('<turn >' || '</turn>' || chr(10)) + length(role || text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g')))::BIGINT
+        AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
+@query(OP5_SQL)
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "\\### Assistant: </turn> ok"
     rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
