@@ -87,17 +87,17 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, Column], budget: Column,
     column ``available``, summed over all leaves), or all capacity if that is less.
     """
     levels = list(weights)
-    leaves = leaves.withColumn("capacity", F.col("available") * epochs)
-    root = leaves.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("available"), F.coalesce(F.sum("capacity"), F.lit(0)).alias("_most"))
-    parents = root.select(F.least(budget.cast("long"), "_most").alias("parent_budget"))
+    leaves = leaves.withColumn("capacity", F.col("available") * epochs).withColumn("_root", F.lit(0))
+    root = leaves.groupBy("_root").agg(F.sum("available").alias("available"), F.sum("capacity").alias("_most"))
+    parents = root.select("_root", F.least(budget.cast("long"), "_most").alias("parent_budget"))
     for depth, level in enumerate(levels):
-        path, up = _path(levels[: depth + 1]), _path(levels[:depth])
+        up = ["_root", *_path(levels[:depth])]
+        path = [*up, f"_{level}"]
         nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity"))
-        nodes = nodes.withColumn("weight", weights[level].cast("long"))
-        nodes = nodes.join(parents, up) if up else nodes.crossJoin(parents)
-        nodes = _divided(nodes, up or [F.lit(0)], path[-1])
+        nodes = nodes.withColumn("weight", weights[level].cast("long")).join(parents, up)
+        nodes = _divided(nodes, up, path[-1])
         parents = nodes.select(*path, F.col("budget").alias("parent_budget"))
-    return leaves.join(parents.withColumnRenamed("parent_budget", "budget"), _path(levels))
+    return leaves.join(parents.withColumnRenamed("parent_budget", "budget"), ["_root", *_path(levels)]).drop("_root")
 
 
 def mixture(

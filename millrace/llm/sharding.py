@@ -2,9 +2,10 @@
 
 Within each source the rows are shuffled by a seeded hash and ranked; a row's
 fractional rank is its rank less an offset of the source, over the size of the
-source. All rows sorted by it have each source evenly spread, and equal cuts of
-that order are the shards: row counts at most one apart, and of each source a
-shard holds its share of rows to within two.
+source. The offset is a hash of the source, so that sources of few rows lie
+anywhere and not all in the middle. All rows sorted by it have each source
+evenly spread, and equal cuts of that order are the shards: row counts at most
+one apart, and of each source about its share of rows in each.
 
 Both orders are global. No source and no shard is ever one task: a rank is the
 count in the buckets of the order before it, which a small table holds, plus
@@ -64,7 +65,7 @@ def interleaved_shards(
     )
     ranked = _ranked(rows, ["_source"], "_bucket", [F.col("_hash"), F.col("doc_id")], "_rank")
     sizes = rows.groupBy("_source").agg(F.count("*").alias("_size"))
-    offset = (seeded(seed, F.lit("offset"), F.col("_source")) + 1) / _HASHES / 2 + 0.25
+    offset = (seeded(seed, F.lit("offset"), F.col("_source")) + 0.5) / _HASHES
     ranked = stored(
         ranked.join(sizes, "_source")
         .withColumn("_at", (F.col("_rank") + offset) / F.col("_size"))
@@ -73,9 +74,9 @@ def interleaved_shards(
         .select("doc_id", *names, "_source", "_all", "_cut", "_at")
     )
     ordered = _ranked(ranked, ["_all"], "_cut", [F.col("_at"), F.col("_source")], "_row")
-    total = ranked.groupBy().agg(F.count("*").alias("_total"))
+    total = ranked.groupBy("_all").agg(F.count("*").alias("_total"))
     row, n = F.col("_row"), F.col("_total")
     # Row r of n lies in shard floor(r * shards / n); that shard begins at row ceil(shard * n / shards).
-    ordered = ordered.crossJoin(F.broadcast(total)).withColumn("shard", F.expr(f"_row * {shards} div _total").cast("int"))
+    ordered = ordered.join(F.broadcast(total), "_all").withColumn("shard", F.expr(f"_row * {shards} div _total").cast("int"))
     first = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
     return ordered.select("doc_id", *names, "shard", (row - first).alias("slot"))

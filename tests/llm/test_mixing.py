@@ -38,7 +38,7 @@ def test_shortage_goes_to_siblings_first(spark):
     weights = {"domain": F.lit(1), "lang": F.lit(1)}
 
     def budgets(total: int) -> dict:
-        return {(r[0], r[1]): r.budget for r in leaf_budgets(frame, weights, F.lit(total), 1).collect()}
+        return {(r["_domain"], r["_lang"]): r.budget for r in leaf_budgets(frame, weights, F.lit(total), 1).collect()}
 
     # The want of a/x is met by a/y; b is not touched.
     assert budgets(1000) == {("a", "x"): 10, ("a", "y"): 490, ("b", "x"): 100, ("b", "y"): 400}
