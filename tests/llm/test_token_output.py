@@ -20,7 +20,7 @@ def test_words_hold_the_ids(n, most):
     ids = np.random.default_rng(n).integers(0, most, n, dtype=np.uint64)
     words, offsets, escapes = simple8b.encode(ids)
     assert (simple8b.decode(words, escapes) == ids).all()
-    for i, (a, b) in enumerate(zip(offsets, [*offsets[1:], len(words)], strict=True)):
+    for i, (a, b) in enumerate(zip(offsets, [*offsets, len(words)][1:], strict=True)):
         assert (simple8b.decode(words[a:b], escapes) == ids[i * simple8b.BLOCK : (i + 1) * simple8b.BLOCK]).all()
     assert len(escapes) == (ids >= 1 << 60).sum()
 
