@@ -5,12 +5,13 @@
    low ``BITS`` bits are packed into the signature.
 2. Documents with the same set are one class, whose smallest id stands for it.
 3. Candidates come from buckets, without all pairs of one. First every member is
-   compared with one hub of its bucket. Only where a bucket then still holds
-   members of several components are these compared with the members of the
-   others, so that no link between different texts is lost. Bits counted in
-   signatures, corrected for chance agreement, drop what cannot be similar, and
-   so do exact distances to the same hub that differ by more than the threshold
-   allows: the distance of sets obeys the triangle inequality.
+   compared with two hubs of its bucket. Buckets with the same first hub are a
+   family. Only where a family then still holds several components are the
+   members outside its largest one compared with the others, in tiles, so that no
+   link between different texts is lost; a tile gives its links and no other
+   pairs. Bits counted in signatures, corrected for chance agreement, drop what
+   cannot be similar, and so do exact distances to the hub that differ by more
+   than the threshold allows: the distance of sets obeys the triangle inequality.
 4. Links are confirmed on the full sets, read again for candidates only.
 5. Components spread the smallest id along the links, in rounds, on Spark.
 """
@@ -35,6 +36,8 @@ BITS = 2
 MARGIN = 4.0
 # Members that are confirmed against one hub in one task.
 BLOCK = 256
+# Members on either side of a tile, about.
+TILE = 256
 _KNOWN_WORDS = 400_000
 
 _ROWS = 4
@@ -149,10 +152,8 @@ def _similar(a: str, b: str, threshold: float) -> Column:
         # Each pair of bits becomes one bit that is set where the minima's bits differ.
         either = x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
         differ = differ + F.bit_count(either)
-    expected = threshold + (1 - threshold) * chance
-    deviation = (expected * (1 - expected) / PERMUTATIONS) ** 0.5 / (1 - chance)
     estimate = ((1 - differ / PERMUTATIONS) - chance) / (1 - chance)
-    return (F.least(n, m) >= threshold * F.greatest(n, m)) & (estimate >= threshold - MARGIN * deviation)
+    return (F.least(n, m) >= threshold * F.greatest(n, m)) & (estimate >= _least_estimate(threshold))
 
 
 _MEASURED = "a long, b long, linked boolean, distance double"
@@ -199,6 +200,95 @@ def _measured(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return stored(dealt.mapInArrow(run, _MEASURED))
 
 
+def _least_estimate(threshold: float) -> float:
+    """The estimate below which a pair is not confirmed."""
+    chance = 0.5**BITS
+    expected = threshold + (1 - threshold) * chance
+    deviation = (expected * (1 - expected) / PERMUTATIONS) ** 0.5 / (1 - chance)
+    return threshold - MARGIN * deviation
+
+
+def _tile_links(percent: int):
+    """Links between the two sides of each tile, whose first side comes before the second."""
+    threshold, chance = percent / 100, 0.5**BITS
+    most_differ = PERMUTATIONS * (1 - chance) * (1 - _least_estimate(threshold))
+    slack = 1 - threshold + 1e-9
+    pairs_of_bits = np.uint64(0x5555555555555555)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, ready = None, [], None
+        for batch in batches:
+            found = ([], [])
+            names = ("hub", "o", "m", "second", "id", "component", "outside", "distance", "bits")
+            columns = zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+            sets = batch.column("shingles")
+            values, ends = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+            for i, (*key, second, b, component, outside, distance, bits) in enumerate(columns):
+                own = values[ends[i] : ends[i + 1]]
+                packed = np.array(bits, np.int64).view(np.uint64)
+                if key != tile:
+                    tile, held, ready = key, [], None
+                if not second:
+                    held.append((b, component, np.nan if distance is None else distance, len(own), packed, own.copy()))
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    ids, parts, far, sizes, signatures, _ = zip(*held, strict=True)
+                    ready = (*map(np.array, (ids, parts, far, sizes)), np.vstack(signatures))
+                ids, parts, far, sizes, signatures = ready
+                differ = signatures ^ packed
+                differ = np.bitwise_count((differ | (differ >> np.uint64(1))) & pairs_of_bits).sum(axis=1)
+                near = (parts != component) & (differ <= most_differ)
+                near &= np.minimum(sizes, len(own)) >= threshold * np.maximum(sizes, len(own))
+                # A pair of two members outside is compared once.
+                near &= (ids < b) | (not outside)
+                if distance is not None:
+                    near &= ~(np.abs(far - distance) > slack)
+                for j in np.flatnonzero(near).tolist():
+                    other = held[j][5]
+                    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    common = int((own[at] == other).sum())
+                    if 100 * common >= percent * (len(own) + len(other) - common):
+                        found[0].append(min(held[j][0], b))
+                        found[1].append(max(held[j][0], b))
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+
+    return run
+
+
+def _links_across(families: DataFrame, one: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members of different components of a family.
+
+    ``families`` has ``hub``, ``id``, ``component`` and ``distance`` to the hub,
+    if that is known. Each tile holds about ``TILE`` members outside the largest
+    component and as many of all, by hash, however large the family is.
+    """
+    parts = families.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("hub").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")
+    )
+    parts = stored(parts.where("all > most"))
+    rows = families.join(parts, "hub").withColumn("outside", F.col("component") != F.col("main"))
+    tiles = {"o": F.ceil((F.col("all") - F.col("most")) / TILE), "m": F.ceil(F.col("all") / TILE)}
+    rows = stored(rows.withColumns({f"{name}_tiles": n.cast("long") for name, n in tiles.items()}))
+    hashed = F.xxhash64("id", F.lit(1))
+
+    def dealt(side: str, other: str, second: bool) -> DataFrame:
+        """Rows with their own tile of one side, once for each tile of the other."""
+        own = rows.withColumn(side, F.pmod(hashed, F.col(f"{side}_tiles")))
+        own = own.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_tiles") - 1)))
+        return own.select("hub", "o", "m", F.lit(second).alias("second"), "id", "component", "outside", "distance")
+
+    both = dealt("o", "m", False).where("outside").unionByName(dealt("m", "o", True))
+    wanted = rows.select("id").distinct()
+    sets = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(size), "id long, shingles array<long>")
+    both = both.join(sets.join(one.select("id", "bits"), "id"), "id")
+    tile = ["hub", "o", "m"]
+    ordered = both.repartition(*tile).sortWithinPartitions(*tile, "second")
+    return stored(ordered.mapInArrow(_tile_links(percent), "a long, b long").distinct())
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``id`` and ``component``, the smallest id that links reach, of each node.
 
@@ -279,30 +369,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         ends = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         tested = measure(ends, tested)
         labels = components(nodes, tested.where("linked"))
-    # Buckets that still hold several components: members of other components than the first meet the others.
-    marked = buckets.join(labels, "id")
-    mixed = marked.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first != last")
-    marked = marked.join(mixed, "key").join(shared, "key")
-    both = tested.select("a", "b", "distance").union(tested.select("b", "a", "distance"))
-    for hub in ("low", "high"):
-        far = both.toDF("id", hub, f"{hub}_distance")
-        marked = marked.join(far, ["id", hub], "left")
-        marked = marked.withColumn(f"{hub}_distance", F.when(F.col("id") == F.col(hub), 0.0).otherwise(F.col(f"{hub}_distance")))
-    marked = stored(marked.join(one.select("id", "n", "bits"), "id"))
-
-    def side(name: str) -> list[Column]:
-        return [F.col(c).alias(f"{name}_{c}") for c in ("n", "bits", "component", "low_distance", "high_distance")]
-
-    left = marked.where("component != first").select("key", F.col("id").alias("a"), *side("a"))
-    right = marked.select(F.col("key").alias("b_key"), F.col("id").alias("b"), *side("b"))
-    # A little more than the threshold allows, for the rounding of distances.
-    slack = 1 - threshold + 1e-9
-    near = _similar("a", "b", threshold)
-    for hub in ("low", "high"):
-        near = near & F.coalesce(F.abs(F.col(f"a_{hub}_distance") - F.col(f"b_{hub}_distance")) <= slack, F.lit(True))
-    across = left.join(right, (F.col("key") == F.col("b_key")) & (F.col("a_component") > F.col("b_component")) & near)
-    tested = measure(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tested)
-    labels = components(nodes, tested.where("linked"))
+    # Every two members of a bucket are in the family of its first hub.
+    families = buckets.join(shared.select("key", F.col("low").alias("hub")), "key").select("hub", "id").distinct()
+    far = tested.select(F.col("a").alias("hub"), F.col("b").alias("id"), "distance")
+    families = stored(families.join(labels, "id").join(far, ["hub", "id"], "left"))
+    links = _links_across(families, one, texts, size, percent)
+    labels = components(nodes, tested.where("linked").select("a", "b").union(links))
     found = members.join(labels, "id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
