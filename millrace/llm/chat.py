@@ -72,24 +72,24 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     there = links.select("tree", F.col("node").alias("up"), F.lit(True).alias("there"))
     jump = links.join(there, ["tree", "up"], "left").withColumn("up", F.when(F.col("there"), F.col("up")))
     jump = stored(jump.select("tree", "node", "up", "sum", F.lit(1).cast("long").alias("n")))
-    jumps = [jump]
+    # Messages whose path to the root is known, and those that still go on.
+    finished, live = jump.where("up IS NULL"), jump.where("up IS NOT NULL")
+    jumps = [live]
     most = links.count()
-    while 1 << len(jumps) <= 2 * most:
-        if jump.where("up IS NOT NULL").isEmpty():
-            break
-        above = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
-        far = jump.join(above, ["tree", "up"], "left")
-        jump = stored(
-            far.select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
-        )
-        jumps.append(jump)
-    parents = jumps[0].where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
-    leaves = jump.where("up IS NULL").join(parents, keys, "left_anti")
+    while 1 << len(jumps) <= 2 * most and not live.isEmpty():
+        above = live.unionByName(finished)
+        above = above.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
+        far = live.join(above, ["tree", "up"])
+        jump = stored(far.select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("n") + F.col("n2")).alias("n")))
+        finished, live = finished.unionByName(jump.where("up IS NULL")), jump.where("up IS NOT NULL")
+        jumps.append(live)
+    parents = jumps[0].select("tree", F.col("up").alias("node")).distinct()
+    leaves = finished.join(parents, keys, "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("n")), F.desc("n"), "node")
     leaves = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
     paths = stored(leaves.select("tree", F.col("node").alias("leaf"), "rank", F.col("n").alias("position"), "node"))
     for j, jump in enumerate(jumps[:-1]):
-        far = paths.join(jump.where("up IS NOT NULL").select("tree", "node", "up"), keys)
+        far = paths.join(jump.select("tree", "node", "up"), keys)
         far = far.select("tree", "leaf", "rank", (F.col("position") - (1 << j)).alias("position"), F.col("up").alias("node"))
         paths = stored(paths.unionByName(far))
     return paths
