@@ -268,11 +268,10 @@ def quality_verdicts(docs: DataFrame, lang: str = "lang", source: str = "source"
 def good_documents(docs: DataFrame, lang: str = "lang", source: str = "source", limit: float = LIMIT) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, with all their columns.
 
-    Texts are read twice, for the estimates and for the verdicts, and never
-    shuffled or joined by id, so ids may repeat or be null.
+    The rows are stored once with their statistics, which nothing after that
+    computes again, and never shuffled or joined by id, so ids may repeat or be null.
     """
-    narrow = _prepared(docs, lang, source)
-    estimate = _estimated(stored(narrow.select(*_GROUP, "base_failed", *_vector())))
-    rows = _prepared(docs, lang, source, F.struct(*docs.columns).alias("_row")).where("NOT base_failed")
-    judged = _distance(rows.select("_row", *_GROUP, *_vector()), estimate)
+    rows = _prepared(docs, lang, source, F.struct(*docs.columns).alias("_row"))
+    rows = stored(rows.select("_row", *_GROUP, "base_failed", *_vector()))
+    judged = _distance(rows.where("NOT base_failed"), _estimated(rows.drop("_row")))
     return judged.where(F.col("_d") <= limit).select("_row.*")
