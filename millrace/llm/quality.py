@@ -33,11 +33,12 @@ STATISTICS = {
     "repeats": 0.11,
     "capitals": 0.05,
 }
-# Squared distance beyond which a text is rejected, and the share of a group that is its core.
+# Squared distance beyond which a text is rejected, and the share of a group that is its core:
+# the half, so that junk of up to some 40 percent of a group stays outside.
 LIMIT = 80.0
-CORE = 0.75
+CORE = 0.5
 # The covariance of the core times this is that of a normal population in five dimensions.
-CONSISTENCY = 1.41
+CONSISTENCY = 1.91
 STEPS = 4
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50

@@ -87,6 +87,14 @@ def test_estimates_against_numpy_and_planted_outliers(spark):
     assert {i for i, r in verdicts.items() if not r.kept} == set(range(120, 128))
 
 
+@pytest.mark.parametrize("copies", [33])
+def test_a_third_of_a_group_is_copies_of_one_junk_text(spark, copies):
+    junk = " ".join(w + "###" for w in prose(0, 70).split())
+    data = [(i, prose(i, 60 + i % 50) if i >= copies else junk, "en", "s") for i in range(100)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality.good_documents(docs).collect()} == set(range(copies, 100))
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     verdicts = quality.quality_verdicts(docs).collect()
