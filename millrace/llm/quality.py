@@ -25,17 +25,18 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANK = " \t\n\x0b\x0c\r"
 
 SCALE = 256
-# Least standard deviation of each statistic: a smaller spread is no evidence.
+# Least standard deviation of each statistic: a smaller spread is no evidence. Texts of which
+# a third are duplicate lines and a quarter repeated words at once are labelled good.
 STATISTICS = {
     "word_length": 0.05,
     "symbols": 0.025,
-    "duplicate_lines": 0.11,
-    "repeats": 0.11,
+    "duplicate_lines": 0.18,
+    "repeats": 0.18,
     "capitals": 0.05,
 }
-# Squared distance beyond which a text is rejected, and the share of a group that is its core:
-# the half, so that junk of up to some 40 percent of a group stays outside.
-LIMIT = 80.0
+# Squared distance beyond which a text is rejected, the 0.999 quantile of chi-square in five
+# dimensions, and the share of a group that is its core: the half, so that junk of up to some 40 percent of a group stays outside.
+LIMIT = 20.515
 CORE = 0.5
 # The covariance of the core times this is that of a normal population in five dimensions.
 CONSISTENCY = 1.91

@@ -95,6 +95,19 @@ def test_a_third_of_a_group_is_copies_of_one_junk_text(spark, copies):
     assert {r.doc_id for r in quality.good_documents(docs).collect()} == set(range(copies, 100))
 
 
+def test_texts_of_partly_duplicate_lines_are_rejected(spark):
+    def lined(seed: int) -> str:
+        lines = [prose(1000 * seed + i, 12) for i in range(12)]
+        return "\n".join(lines + lines[:1] * 8)
+
+    # Eight of twenty lines repeat the first one.
+    texts = [prose(i, 60 + i % 50) for i in range(60)] + [lined(i) for i in range(60, 64)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    verdicts = {r.doc_id: r for r in quality.quality_verdicts(docs).collect()}
+    assert not any(r.base_failed for r in verdicts.values())
+    assert {i for i, r in verdicts.items() if not r.kept} == set(range(60, len(texts)))
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     verdicts = quality.quality_verdicts(docs).collect()
