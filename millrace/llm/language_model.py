@@ -3,10 +3,11 @@
 Training counts words, and pairs of a word and the one before it, over all
 texts. Pairs and words enter a Bloom filter once for each level of their
 quantised count, level l standing for counts from 2^(l-1) on; a count is read
-back by testing level after level until one is missing. The filter is broadcast.
-Its size follows the number of tokens up to ``FILTER_BYTES``, which bounds the
-broadcast; beyond it every n-gram still enters, and chance hits grow with the
-load, which ``Model.load`` tells.
+back by testing level after level until one is missing. The filter's size
+follows the number of tokens without a bound. Up to ``FILTER_BYTES`` it is
+broadcast; a larger one stays in its regions, to which the n-grams of the texts
+are sent: each region's task answers with their levels, and texts and answers
+meet again by chunks of texts. ``Model.load`` is the share of bits set.
 
 The filter is built in regions: each n-gram belongs to one, tasks send each
 region a packed list of keys and counts, and one task sets the bits of a
@@ -38,6 +39,8 @@ BITS_A_TOKEN = 8
 HASHES = 3
 REGION_TOKENS = 2_000_000
 FLUSH_TOKENS = 4_000_000
+# Tokens of texts, about, that are scored together where the filter is not broadcast.
+CHUNK_TOKENS = 1_000_000
 HEAD_WORDS = 1 << 17
 SMOOTHING = 16.0
 LEVELS = 40
@@ -112,7 +115,11 @@ class Filter:
     bits: int
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised count of each key, by probes of level after level."""
+        """The quantised count of each key."""
+        return _value(self.levels(keys))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key, by probes of one after another."""
         base = (keys % np.uint64(self.regions)) * np.uint64(self.bits)
         found = np.zeros(len(keys), np.int8)
         live = np.arange(len(keys))
@@ -126,16 +133,32 @@ class Filter:
             if not len(live):
                 break
             found[live] = level
-        return _value(found)
+        return found
+
+
+@dataclass(frozen=True)
+class Answers:
+    """Levels of the sorted ``keys`` that a chunk of texts holds."""
+
+    keys: np.ndarray
+    found: np.ndarray
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return _value(self.found[np.searchsorted(self.keys, keys)])
 
 
 @dataclass(frozen=True)
 class Model:
+    """``filter`` is None where it is too large for a broadcast; its ``regions`` of ``bits`` bits each are stored in ``built``."""
+
     words: DataFrame
     tokens: int
     distinct: int
-    filter: Broadcast
+    filter: Broadcast | None
     load: float
+    built: DataFrame
+    regions: int
+    bits: int
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +228,7 @@ def _count_ngrams(regions: int):
 def _set_bits(bits: int):
     """Each region's bits from its packed lists, which come one after another."""
 
-    def region_bits(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[bytes, int]:
+    def region_bits(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[bytes, int, int]:
         keys, inverse = np.unique(np.concatenate([k for k, _ in lists]), return_inverse=True)
         counts = np.bincount(inverse, weights=np.concatenate([n for _, n in lists]).astype(np.float64), minlength=len(keys))
         levels = _levels(counts)
@@ -214,15 +237,16 @@ def _set_bits(bits: int):
             own = keys[levels >= level]
             for i in range(HASHES):
                 held[_places(own, level, i, bits).astype(np.int64)] = 1
-        return np.packbits(held, bitorder="little").tobytes(), len(keys)
+        return np.packbits(held, bitorder="little").tobytes(), len(keys), int(held.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, lists = None, []
 
         def done() -> pa.RecordBatch:
-            packed, n = region_bits(lists)
+            packed, n, ones = region_bits(lists)
             return pa.RecordBatch.from_arrays(
-                [pa.array([region], pa.int32()), pa.array([packed], pa.binary()), pa.array([n], pa.int64())], names=["region", "bits", "n"]
+                [pa.array([region], pa.int32()), pa.array([packed], pa.binary()), pa.array([n], pa.int64()), pa.array([ones], pa.int64())],
+                names=["region", "bits", "n", "ones"],
             )
 
         for batch in batches:
@@ -242,24 +266,28 @@ def _set_bits(bits: int):
 def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> Model:
     """A model of the column ``text`` of all rows; repeated rows count as often as they occur.
 
-    A null text is an empty one. Without rows every word is unknown.
+    A null text is an empty one. Without rows every word is unknown. A filter of
+    more than ``filter_bytes`` is not broadcast.
     """
     spark = docs.sparkSession
     texts = docs.select("text")
     words = stored(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     regions = max(16, math.ceil(total["n"] / REGION_TOKENS))
-    size = min(filter_bytes, max(1 << 10, total["n"] * BITS_A_TOKEN // 8))
+    size = max(1 << 10, total["n"] * BITS_A_TOKEN // 8)
     bits = -(-size // regions // 8) * 64
     lists = texts.mapInArrow(_count_ngrams(regions), _PACKED).repartition("region").sortWithinPartitions("region")
-    built = stored(lists.mapInArrow(_set_bits(bits), "region int, bits binary, n long"))
-    # The whole filter is at most filter_bytes, and a word a region.
-    whole = np.zeros(regions * bits // 8, np.uint8)
-    for row in built.select("region", "bits").toLocalIterator():
-        at = row["region"] * bits // 8
-        whole[at : at + bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    load = sum(int(np.bitwise_count(whole[i : i + (1 << 20)]).sum()) for i in range(0, len(whole), 1 << 20)) / (8 * len(whole))
-    return Model(words, total["n"], total["v"], spark.sparkContext.broadcast(Filter(whole, regions, bits)), load)
+    built = stored(lists.mapInArrow(_set_bits(bits), "region int, bits binary, n long, ones long"))
+    load = built.agg(F.coalesce(F.sum("ones"), F.lit(0)).alias("ones")).first()["ones"] / (regions * bits)
+    filled = None
+    if size <= filter_bytes:
+        # The whole filter is at most filter_bytes, and a word a region.
+        whole = np.zeros(regions * bits // 8, np.uint8)
+        for row in built.select("region", "bits").toLocalIterator():
+            at = row["region"] * bits // 8
+            whole[at : at + bits // 8] = np.frombuffer(row["bits"], np.uint8)
+        filled = spark.sparkContext.broadcast(Filter(whole, regions, bits))
+    return Model(words, total["n"], total["v"], filled, load, built, regions, bits)
 
 
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<long>"
@@ -268,14 +296,37 @@ _SCORED_NAMES = [part.split()[0] for part in _SCORED.split(", ")]
 
 
 def _score(model: Model, head: Broadcast):
+    """Scores of texts, by the broadcast filter or, without one, by their chunk's answers, which come before its texts."""
     filled, total, distinct = model.filter, model.tokens, model.distinct
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Answers]]:
+        chunk, held, table = None, [], None
+        for batch in batches:
+            number = batch.column("chunk").to_numpy()
+            text = batch.column("keys").is_null().to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((np.diff(number) != 0) | (text[1:] != text[:-1])) + 1).tolist(), batch.num_rows]
+            for at, end in zip(edges, edges[1:]):
+                if at == end:
+                    continue
+                if number[at] != chunk:
+                    chunk, held, table = number[at], [], None
+                some = batch.slice(at, end - at)
+                if not text[at]:
+                    both = zip(some.column("keys").to_pylist(), some.column("levels").to_pylist(), strict=True)
+                    held += [(_unpack(k), np.frombuffer(found, np.int8)) for k, found in both]
+                    continue
+                if table is None:
+                    keys, found = (np.concatenate(part) for part in zip(*held, strict=True))
+                    order = np.argsort(keys)
+                    held, table = [], Answers(keys[order], found[order])
+                yield some.select(["doc_id", "held_out", "text"]), table
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted, table = head.value, filled.value
+        counted = head.value
         norm = math.log10(total + distinct + 1)
         logs = {w: math.log10(n + 1) - norm for w, n in counted.items()}
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch, table in chunks(batches) if filled is None else ((b, filled.value) for b in batches):
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
                 texts = [tokens_of(t) for t in some.column(2).to_pylist()]
@@ -308,6 +359,82 @@ def _score(model: Model, head: Broadcast):
     return run
 
 
+_PROBED = "chunk long, region int, keys binary, doc_id long, held_out boolean, text string"
+_PROBED_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.string()]
+_PROBED_NAMES = [part.split()[0] for part in _PROBED.split(", ")]
+
+
+def _probe(regions: int):
+    """Texts in chunks, and each chunk's distinct keys by region."""
+
+    def probed(chunk: int, texts: list[tuple], parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(parts))
+        region = (keys % np.uint64(regions)).astype(np.int64)
+        order = np.argsort(region, kind="stable")
+        keys, edges = keys[order], np.searchsorted(region[order], np.arange(regions + 1))
+        rows = [(chunk, r, _pack(keys[edges[r] : edges[r + 1]]), None, None, None) for r in np.flatnonzero(np.diff(edges)).tolist()]
+        rows += [(chunk, None, None, *text) for text in texts]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PROBED_TYPES, strict=True)], names=_PROBED_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 40
+        texts, parts, held = [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                some = list(zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True))
+                tokens = [tokens_of(text) for *_, text in some]
+                sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+                hashes = _word_hashes([t for one in tokens for t in one])
+                # Repeated keys go at once, so that what is held is small.
+                parts.append(np.unique(np.concatenate([_bigrams(hashes, np.cumsum(sizes) - sizes), _unigrams(hashes)])))
+                texts += some
+                held += len(hashes)
+                if held >= CHUNK_TOKENS:
+                    yield probed(chunk, texts, parts)
+                    chunk, texts, parts, held = chunk + 1, [], [], 0
+        if texts:
+            yield probed(chunk, texts, parts)
+
+    return run
+
+
+def _answer(bits: int):
+    """Levels of each chunk's keys in a region, whose bits come before the keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, table = None, None
+        for batch in batches:
+            rows = []
+            columns = (batch.column(n).to_pylist() for n in ("region", "chunk", "keys"))
+            for own, chunk, keys in zip(*columns, strict=True):
+                if own != region:
+                    region, table = own, None
+                if chunk is None:
+                    table = Filter(np.frombuffer(keys, np.uint8), 1, bits)
+                    continue
+                # A region without bits holds no n-gram.
+                found = np.zeros(len(keys) // 6, np.int8) if table is None else table.levels(_unpack(keys))
+                rows.append((chunk, keys, found.tobytes()))
+            chunks, keys, found = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(chunks, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["chunk", "keys", "levels"]
+            )
+
+    return run
+
+
+def _answered(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` in chunks, each after the levels of its n-grams from the stored regions."""
+    probed = stored(rows.mapInArrow(_probe(model.regions), _PROBED))
+    asked = probed.where("region IS NOT NULL").select("region", "chunk", "keys")
+    both = model.built.select("region", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("keys")).unionByName(asked)
+    both = both.repartition("region").sortWithinPartitions("region", F.col("chunk").asc_nulls_first())
+    answers = both.mapInArrow(_answer(model.bits), "chunk long, keys binary, levels binary")
+    texts = probed.where("region IS NULL").select("chunk", "doc_id", "held_out", "text")
+    met = answers.unionByName(texts, allowMissingColumns=True)
+    return met.repartition("chunk").sortWithinPartitions("chunk", F.col("keys").isNull())
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of each row.
 
@@ -319,6 +446,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     first = model.words.orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
     head = {bytes(r["word"]): r["n"] for r in first.toLocalIterator()}
     rows = docs.select(F.col("doc_id").cast("long"), "held_out", "text")
+    if model.filter is None:
+        rows = _answered(rows, model)
     rows = stored(rows.mapInArrow(_score(model, spark.sparkContext.broadcast(head)), _SCORED))
     tail = rows.where("size(tail) > 0").select("row", F.explode(F.arrays_zip("tail", "times")).alias("t"))
     tail = tail.select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))

@@ -55,6 +55,20 @@ def test_scores_against_exact_counts(spark, monkeypatch, head):
         _agrees(row, (train + other)[row.doc_id], words, pairs, 0.35)
 
 
+def test_a_filter_beyond_the_broadcast_gives_the_same_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 500)
+    texts = [prose(i, 150) for i in range(60)] + ["", None, "UNSEEN words"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 7 == 0)
+    docs = docs.union(docs.where("doc_id < 3"))
+    whole, parts = lm.train(docs.where("NOT held_out")), lm.train(docs.where("NOT held_out"), filter_bytes=1 << 10)
+    # The bits do not stop at filter_bytes.
+    assert parts.load == whole.load and parts.filter is None
+    expected, found = (sorted(map(tuple, lm.scores(docs, m).collect())) for m in (whole, parts))
+    assert len(found) == len(expected) == 66
+    for e, f in zip(expected, found, strict=True):
+        assert e[:5] == f[:5] and e[5:] == pytest.approx(f[5:], abs=1e-9)
+
+
 def test_no_known_ngram_is_missed():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 5000, dtype=np.uint64))
     counts = np.arange(1, len(keys) + 1).astype(np.uint64)
