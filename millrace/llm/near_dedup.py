@@ -2,7 +2,7 @@
 
 1. A text's word shingles are hashed, and their minima under ``PERMUTATIONS``
    permutations taken. Bands of minima give bucket keys; of each minimum the
-   low ``BITS`` bits are packed into the signature.
+   ``BITS`` bits of a hash of minimum and permutation are packed into the signature.
 2. Documents with the same set are one class, whose smallest id stands for it.
 3. Candidates come from buckets, without all pairs of one. First every member is
    compared with two hubs of its bucket. Buckets with the same first hub are a
@@ -10,7 +10,7 @@
    members outside its largest one compared with the others, in tiles, so that no
    link between different texts is lost; a tile gives its links and no other
    pairs. Bits counted in signatures, corrected for chance agreement, drop what
-   cannot be similar, and so do exact distances to the hub that differ by more
+   cannot be similar, except among sets of fewer than ``SHORT``, and so do exact distances to the hub that differ by more
    than the threshold allows: the distance of sets obeys the triangle inequality.
 4. Links are confirmed on the full sets, read again for candidates only.
 5. Components spread the smallest id along the links, in rounds, on Spark.
@@ -34,6 +34,8 @@ BANDS = 32
 BITS = 2
 # Standard deviations below the threshold at which an estimate is still confirmed.
 MARGIN = 4.0
+# Sets of fewer shingles are confirmed without an estimate.
+SHORT = 64
 # Members that are confirmed against one hub in one task.
 BLOCK = 256
 # Members on either side of a tile, about.
@@ -88,7 +90,9 @@ def _signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.arange(BANDS, dtype=np.uint64)
     for i in range(_ROWS):
         keys = _mixed(keys + rows[:, i])
-    bits = ((minima[:, None] >> np.arange(BITS, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+    # The low bits of a minimum itself depend on those of its shingle alone, the same way in all permutations.
+    own = _mixed(minima.astype(np.uint64) + (np.arange(PERMUTATIONS, dtype=np.uint64) << np.uint64(32))).astype(np.uint32)
+    bits = ((own[:, None] >> np.arange(BITS, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
     return keys.view(np.int64), np.packbits(bits.ravel(), bitorder="little").view(np.int64)
 
 
@@ -153,7 +157,8 @@ def _similar(a: str, b: str, threshold: float) -> Column:
         either = x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
         differ = differ + F.bit_count(either)
     estimate = ((1 - differ / PERMUTATIONS) - chance) / (1 - chance)
-    return (F.least(n, m) >= threshold * F.greatest(n, m)) & (estimate >= _least_estimate(threshold))
+    likely = (F.least(n, m) < SHORT) | (estimate >= _least_estimate(threshold))
+    return (F.least(n, m) >= threshold * F.greatest(n, m)) & likely
 
 
 _MEASURED = "a long, b long, linked boolean, distance double"
@@ -239,7 +244,7 @@ def _tile_links(percent: int):
                 ids, parts, far, sizes, signatures = ready
                 differ = signatures ^ packed
                 differ = np.bitwise_count((differ | (differ >> np.uint64(1))) & pairs_of_bits).sum(axis=1)
-                near = (parts != component) & (differ <= most_differ)
+                near = (parts != component) & ((differ <= most_differ) | (np.minimum(sizes, len(own)) < SHORT))
                 near &= np.minimum(sizes, len(own)) >= threshold * np.maximum(sizes, len(own))
                 # A pair of two members outside is compared once.
                 near &= (ids < b) | (not outside)

@@ -124,3 +124,23 @@ def test_odd_rows(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({i for i, (_, c) in found.items() if i == c}) and ids.count(None) == 1
     assert near_duplicates(none(spark)).count() == 0 and without_near_duplicates(none(spark)).count() == 0
+
+
+def test_no_link_between_short_texts_is_lost(spark):
+    # Four of five shingles in common are 80 percent.
+    data = [(2 * i + j, " ".join(f"{i}x{k}" for k in range(9 - j))) for i in range(1000) for j in (0, 1)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in found if r.component_id != r.doc_id // 2 * 2] == []
+
+
+def test_signature_bits_are_independent_by_permutation():
+    rng = np.random.default_rng(5)
+    lost = 0
+    for _ in range(1500):
+        shingles = np.sort(rng.integers(0, 1 << 63, 5, dtype=np.uint64))
+        a, b = (near_dedup._signature(s)[1].view(np.uint64) for s in (shingles, shingles[1:]))
+        x = a ^ b
+        differ = int(np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum())
+        chance = 0.5**near_dedup.BITS
+        lost += ((1 - differ / near_dedup.PERMUTATIONS) - chance) / (1 - chance) < near_dedup._least_estimate(0.8)
+    assert lost <= 1
