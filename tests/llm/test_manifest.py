@@ -1,0 +1,105 @@
+"""The Merkle manifest against a tree built in memory."""
+
+from __future__ import annotations
+
+import hashlib
+
+import pytest
+from conftest import DATA
+from llm.fixtures import none, odd
+from oracle import duck_rows, spark_rows
+from pyspark.sql import functions as F
+
+from millrace.llm import ORACLES, QUERIES
+from millrace.llm.manifest import manifest
+
+NAMES = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+def _h(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _leaf(row, text) -> str:
+    values = [row.doc_id, row.source, row.lang, row.n_chars, text]
+    return _h("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def _tree(nodes: list[str]) -> list[list[str]]:
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([_h("".join(levels[-1][i : i + 8])) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def _steps(levels: list[list[str]], i: int):
+    for level in levels[:-1]:
+        first = i - i % 8
+        yield "".join(level[first:i]), "".join(level[i + 1 : first + 8])
+        i //= 8
+
+
+def _brute(rows, given) -> list[tuple]:
+    by_lang: dict = {}
+    for row in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, _leaf(r, r.text))):
+        by_lang.setdefault(row.lang, []).append(row)
+    langs = sorted(by_lang, key=lambda v: (v is not None, (v or "").encode()))
+    trees = {lang: _tree([_leaf(r, r.text) for r in by_lang[lang]]) for lang in langs}
+    upper = _tree([trees[lang][-1][0] for lang in langs])
+    root, out = upper[-1][0] if langs else None, []
+    for at, lang in enumerate(langs):
+        for i, row in enumerate(by_lang[lang]):
+            steps = [*_steps(trees[lang], i), *_steps(upper, at)]
+            fold = _leaf(row, given(row))
+            for left, right in steps:
+                fold = _h(left + fold + right)
+            proof = _h("".join(left + right for left, right in steps))
+            out.append((row.doc_id, _leaf(row, row.text), trees[lang][-1][0], root, proof, fold, fold == root))
+    return out
+
+
+def _agrees(docs, levels: int) -> None:
+    changed = F.when(F.col("doc_id") % 2 == 0, F.upper("text")).otherwise(F.col("text"))
+    found = manifest(docs, changed, levels)
+    assert found.columns == NAMES
+    rows = docs.withColumn("changed", changed).collect()
+    expected = _brute(rows, lambda r: r.changed)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+
+
+@pytest.mark.parametrize("levels", [4, 1])
+@pytest.mark.parametrize("make", [odd, none])
+def test_odd_rows(spark, make, levels):
+    # Bundles of eight nodes need several rounds for a tree.
+    _agrees(make(spark), levels)
+
+
+@pytest.mark.parametrize("n", [1, 8, 9, 64, 65, 700])
+def test_sizes(spark, n):
+    lang = F.when(F.col("id") < n // 2, F.lit("hot")).otherwise(F.concat(F.lit("l"), (F.col("id") % 90).cast("string")))
+    docs = spark.range(n).select(
+        F.col("id").alias("doc_id"), lang.alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"), F.lit("Text").alias("text")
+    )
+    _agrees(docs.repartition(5), 2)
+
+
+def test_the_order_of_rows_does_not_matter(spark):
+    docs = odd(spark)
+    one = manifest(docs, F.col("text")).select("root").distinct().collect()
+    assert one == manifest(docs.orderBy(F.rand(3)), F.col("text")).select("root").distinct().collect()
+    assert len(one) == 1
+
+
+def test_a_changed_field_changes_the_root(spark):
+    docs = odd(spark)
+    whole = manifest(docs, F.col("text"))
+    assert whole.where("NOT verified").isEmpty()
+    other = manifest(docs.withColumn("n_chars", F.when(F.col("doc_id") == 5, 1).otherwise(F.col("n_chars"))), F.col("text"))
+    assert whole.first().root != other.first().root
+
+
+def test_query_agrees_with_sql(spark):
+    sf_dir = DATA / "sf0.01"
+    expected_columns, expected = duck_rows(sf_dir, ORACLES["op13_merkle_manifest"])
+    columns, rows = spark_rows(QUERIES["op13_merkle_manifest"](spark, str(sf_dir)))
+    assert columns == expected_columns and rows == expected and sum(rows.values()) == 1000
