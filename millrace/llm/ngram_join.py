@@ -17,8 +17,9 @@
    sizes and bitmaps bound what they can have in common: two sets differ in at
    least as many shingles as the bitmaps of their parities differ in bits. The
    bound is exact, so that no link is lost.
-5. What passes is verified on the full sets. Rounds of these take first the
-   likeliest partner of a member in each component, then all that is left.
+5. What passes is verified on the full sets: first a forest, of which each tile
+   gives fewer pairs than it has components, then all pairs that are left between
+   the components that the forest has not joined.
 """
 
 from __future__ import annotations
@@ -234,20 +235,27 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _tile_pairs(percent: int, likeliest: bool):
+def _tile_pairs(percent: int, forest: bool):
     """Pairs of the two sides of each tile, first side first, that may be linked and are of different components.
 
-    The ``likeliest`` are one of each component for each member of the second side.
+    A ``forest`` has no pair that would join what those before it would have joined:
+    fewer than there are components, nearest partners first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, ready = None, [], None
+        tile, held, ready, above = None, [], None, {}
+
+        def top(component: int) -> int:
+            while component in above:
+                component = above[component]
+            return component
+
         for batch in batches:
             a, b = [], []
             names = ("hub", "o", "m", "second", "id", "component", "outside", "n", "bitmap")
             for *key, second, own, component, outside, n, bitmap in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if key != tile:
-                    tile, held, ready = key, [], None
+                    tile, held, ready, above = key, [], None, {}
                 bits = np.frombuffer(bitmap, np.uint64)
                 if not second:
                     held.append((own, component, n, bits))
@@ -261,14 +269,18 @@ def _tile_pairs(percent: int, likeliest: bool):
                 differ = np.bitwise_count(maps ^ bits).sum(axis=1, dtype=np.int64)
                 # Twice the most that they have in common.
                 common = sizes + n - differ
-                near = (parts != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                mine = top(component)
+                near = (parts != mine) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
                 near &= 100 * common >= percent * (2 * (sizes + n) - common)
                 # A pair of two members outside is compared once.
                 near &= (ids < own) | (not outside)
                 found = np.flatnonzero(near)
-                if likeliest and len(found):
+                if forest and len(found):
                     found = found[np.argsort(differ[found], kind="stable")]
-                    found = found[np.unique(parts[found], return_index=True)[1]]
+                    found = found[np.sort(np.unique(parts[found], return_index=True)[1])]
+                    for other in parts[found].tolist():
+                        above[other] = mine
+                        parts[parts == other] = mine
                 a += np.minimum(ids[found], own).tolist()
                 b += np.maximum(ids[found], own).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -276,7 +288,7 @@ def _tile_pairs(percent: int, likeliest: bool):
     return run
 
 
-def _across(families: DataFrame, labels: DataFrame, facts: DataFrame, percent: int, likeliest: bool) -> DataFrame:
+def _across(families: DataFrame, labels: DataFrame, facts: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs of members of a family that are in different components and may be linked.
 
     Each tile holds about ``TILE`` members outside the family's largest component and as many of
@@ -305,7 +317,7 @@ def _across(families: DataFrame, labels: DataFrame, facts: DataFrame, percent: i
     both = dealt("o", "m", False).where("outside").unionByName(dealt("m", "o", True))
     tile = ["hub", "o", "m"]
     ordered = both.repartition(*tile).sortWithinPartitions(*tile, "second")
-    return ordered.mapInArrow(_tile_pairs(percent, likeliest), "a long, b long").distinct()
+    return ordered.mapInArrow(_tile_pairs(percent, forest), "a long, b long").distinct()
 
 
 def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -337,8 +349,9 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     pairs = hubs.where(_sizes_fit(F.col("n"), F.col("hub_n"), percent)).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     tested = measured(pairs, texts, size, percent)
     labels = components(nodes, tested.where("linked"))
-    for likeliest in (True, False):
-        pairs = _across(families, labels, facts, percent, likeliest).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    # A forest first, so that few components are left to be compared in all pairs.
+    for forest in (True, False):
+        pairs = _across(families, labels, facts, percent, forest).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = stored(tested.union(measured(stored(pairs), texts, size, percent)))
         labels = components(nodes, tested.where("linked"))
     least = labels.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("low"))
