@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +41,25 @@ def seeded(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+# Seconds after which what a worker holds is dropped: idle workers live on beside other jobs.
+IDLE_SECONDS = 10
 _held: dict = {}
+_used = [0.0]
+
+
+def _drop_when_idle() -> None:
+    while time.monotonic() - _used[0] < IDLE_SECONDS:
+        time.sleep(1)
+    _held.clear()
 
 
 def once_a_worker(key, make):
-    """What ``make`` builds, kept in this Python worker for its next tasks; only the last key's is kept."""
-    if key not in _held:
+    """What ``make`` builds, kept in this Python worker for its next tasks; only the last key's is kept, while it is used."""
+    _used[0] = time.monotonic()
+    found = _held.get(key)
+    if found is None:
+        if not _held:
+            threading.Thread(target=_drop_when_idle, daemon=True).start()
         _held.clear()
-        _held[key] = make()
-    return _held[key]
+        _held[key] = found = make()
+    return found

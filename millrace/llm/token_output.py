@@ -25,7 +25,9 @@ from millrace.llm import simple8b
 from millrace.llm.common import once_a_worker
 
 SEGMENT_IDS = 1 << 18
-CACHE_ENTRIES = 800_000
+# Chunks that a worker remembers of late and of before, some 200 bytes each.
+CACHE_ENTRIES = 250_000
+TEXTS_A_BATCH = 1024
 
 SEGMENT = (
     "part int, start long, n_ids long, doc_ids array<long>, lengths array<long>,"
@@ -66,20 +68,27 @@ _PIECE = re.compile(
 )
 
 
+def _is_word(chunk: str) -> bool:
+    """Whether a chunk has letters of Latin-1 alone, which the pattern takes for letters too."""
+    return chunk.isalpha() and (chunk.isascii() or max(chunk) <= "\xff")
+
+
 class Encoder:
     """Texts to ids as little-endian 32-bit bytes.
 
-    A text is cut at its single spaces; the ids of a chunk are those of its
-    pieces, and both are remembered, up to ``CACHE_ENTRIES`` each. A chunk that
-    begins or ends with white space shows a text that must be cut by the
-    pattern alone. Tokenizers of another kind get the whole texts.
+    A text is cut at its single spaces, and the ids of the chunks are remembered:
+    those of late, up to ``CACHE_ENTRIES``, and as many from before. A chunk of
+    letters is one piece, and two with a mark at its end; others are cut by the
+    pattern. A chunk that begins
+    or ends with white space shows a text that must be cut by the pattern alone,
+    as one does that holds the string of a special token. Tokenizers of another
+    kind get the whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         whole = json.loads(self.tokenizer.to_str())
         split = whole["pre_tokenizer"] or {}
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -89,45 +98,66 @@ class Encoder:
             and split.get("use_regex", True)
             and len(self.newline) == 1
         )
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
+        self.added = [t["content"] for t in whole["added_tokens"]]
+        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))
+        self.late: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces, which a newline keeps apart in one text."""
-        new = [p for p in pieces if p not in self.pieces]
-        white = [p for p in new if p.isspace() or "\n" in p]
-        self.pieces.update(zip(white, self._ids(white), strict=True))
-        words = [p for p in new if p not in self.pieces]
-        if words:
-            ids = self._ids(["\n".join(words)])[0]
-            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == self.newline[0]) * 4
-            start = 0
-            for word, end in zip(words, [*ends.tolist(), len(ids)], strict=True):
-                self.pieces[word] = ids[start:end]
-                start = end + 4
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of pieces without white space but for one space before, which a newline keeps apart in one text."""
+        if not words:
+            return []
+        ids = self._ids(["\n".join(words)])[0]
+        ends = np.flatnonzero(np.frombuffer(ids, "<u4") == self.newline[0]) * 4
+        starts = [0, *(ends + 4).tolist()]
+        return [ids[a:b] for a, b in zip(starts, [*ends.tolist(), len(ids)], strict=True)]
 
     def _by_pieces(self, texts: list[str]) -> list[bytes]:
         cut = [_PIECE.findall(text) for text in texts]
-        self._learn(set().union(*cut))
-        return [b"".join(map(self.pieces.__getitem__, some)) for some in cut]
+        known = dict.fromkeys(set().union(*cut))
+        white = [p for p in known if p.isspace() or "\n" in p]
+        words = [p for p in known if not (p.isspace() or "\n" in p)]
+        known.update(zip(white, self._ids(white), strict=True))
+        known.update(zip(words, self._words(words), strict=True))
+        return [b"".join(map(known.__getitem__, some)) for some in cut]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember the ids of chunks that follow a space."""
+        if len(self.late) + len(chunks) > CACHE_ENTRIES:
+            self.late, self.before = {}, self.late
+        else:
+            chunks = chunks.difference(self.late)
+        ended = {c: c[:-1] for c in chunks if c[-1:] in self.marks and _is_word(c[:-1])}
+        chunks = chunks.difference(ended).union(s for s in ended.values() if s not in self.late)
+        known = chunks & self.before.keys()
+        self.late.update((c, self.before[c]) for c in known)
+        chunks = chunks - known
+        plain = [c for c in chunks if _is_word(c)]
+        self.late.update(zip(plain, self._words([f" {c}" for c in plain]), strict=True))
+        self.late.update((c, self.late[stem] + self.marks[c[-1]]) for c, stem in ended.items())
+        # What str takes for white space holds all that the pattern does.
+        rest = chunks.difference(plain)
+        whole = [c for c in rest if c and not (c[0].isspace() or c[-1].isspace())]
+        self.late.update(zip(whole, self._by_pieces([f" {c}" for c in whole]), strict=True))
+        self.late.update((c, None) for c in rest if not c or c[0].isspace() or c[-1].isspace())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._ids(texts)
-        for known in (self.chunks, self.pieces):
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
+        odd = [i for i, text in enumerate(texts) if any(special in text for special in self.added)]
+        if odd:
+            found = self.encode(["" if i in odd else text for i, text in enumerate(texts)])
+            for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
+                found[i] = ids
+            return found
         cut = [text.split(" ") for text in texts]
-        new = list(set().union(*cut).difference(self.chunks))
-        self.chunks.update(zip(new, self._by_pieces([f" {chunk}" for chunk in new]), strict=True))
-        # What str takes for white space holds all that the pattern does.
-        self.chunks.update((c, None) for c in new if not c or c[0].isspace() or c[-1].isspace())
+        self._learn(set().union(*cut))
         firsts = self._by_pieces([chunks[0] for chunks in cut])
-        find = self.chunks.__getitem__
+        find = self.late.__getitem__
         found = []
         for text, first, chunks in zip(texts, firsts, cut, strict=True):
             try:
@@ -143,7 +173,6 @@ def _segments(path: str, end_id: int | None, segment_ids: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = once_a_worker(("encoder", path), lambda: Encoder(path))
         part, start = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         parts: list[bytes] = []
@@ -157,8 +186,9 @@ def _segments(path: str, end_id: int | None, segment_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, _SEGMENT, strict=True)], schema=_SEGMENT)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS_A_BATCH):
+                some = batch.slice(at, TEXTS_A_BATCH)
+                encoder = once_a_worker(("encoder", path), lambda: Encoder(path))
                 encoded = encoder.encode(some.column(1).to_pylist())
                 for doc, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
                     docs.append(doc)

@@ -39,14 +39,22 @@ ODD = [
 def test_pieces_encode_as_the_whole():
     texts = ODD + [r[1] for r in rows() if r[1]]
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     whole = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert Encoder(tokenizer_path()).encode(texts) == whole
 
 
+def test_special_tokens_and_small_caches(monkeypatch):
+    """The library's own ids, also where a text names a special token and where little is remembered."""
+    monkeypatch.setattr("millrace.llm.token_output.CACHE_ENTRIES", 8)
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "x<|endoftext|><|endoftext|>\n y", *ODD, "end. End, é! ß; ªº µ", "l'été. It's."]
+    for _ in range(2):
+        for text in texts:
+            assert np.frombuffer(encoder.encode([text, "word. word"])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def _expected(data: list[tuple]) -> list[tuple]:
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
     for doc, text in sorted(((r[0], r[1] or "") for r in data), key=lambda r: (r[0] is not None, r[0], r[1])):
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
