@@ -1,6 +1,6 @@
 """The queries by which the package is checked and timed."""
 
-from millrace.catalogue import changes, decoding, loop, streams, tables, text  # noqa: F401
+from millrace.catalogue import changes, decoding, loop, state, streams, tables, text, times  # noqa: F401
 from millrace.catalogue.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

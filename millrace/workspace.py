@@ -30,3 +30,12 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     if jvm is not None:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the path for it; needs a classic session."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        raise ValueError("files are claimed and committed by the driver, which a remote session has not")
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
