@@ -14,9 +14,13 @@ non-overlapping matches of these expressions, failing ones dropped:
     card   [0-9]([ -]?[0-9])+, 14 to 19 digits that pass Luhn
     phone  \\+[0-9][ ().0-9-]+[0-9], 10 to 15 digits
 
-``login`` is an address with a user and a password before its host; ``iban``
-an account number that follows its cue and passes mod 97; ``ssn`` three, two
-and four digits with hyphens after their cue. Spans are code points, the end
+``login`` is an address with a user and a password before its host. The others
+follow a cue, in any case, and then marks, a line break or words such as
+"number is": ``iban`` an account number that passes mod 97, ``ssn`` three, two
+and four digits with hyphens, ``routing`` nine digits with their check digit,
+``account`` 6 to 17 digits, ``passport`` 6 to 9 letters and digits. ``secret`` is
+the value given to a password, token or key, or a key that shows by its prefix
+and length; or a private key in its marks. Spans are code points, the end
 exclusive, and may overlap between kinds.
 """
 
@@ -32,16 +36,41 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import once_a_worker
 
-KINDS = ("email", "ip", "card", "phone", "login", "iban", "ssn")
-CUES = {"iban": ("iban",), "ssn": ("ssn", "social security")}
+KINDS = ("email", "ip", "card", "phone", "login", "iban", "ssn", "routing", "account", "passport", "secret")
+CUES = {
+    "iban": ("iban",),
+    "ssn": ("ssn", "social security"),
+    "routing": ("routing",),
+    "account": ("account", "acct"),
+    "passport": ("passport",),
+    "given": ("password", "passwd", "passphrase", "secret", "token", "api key", "api_key", "api-key", "apikey", "access key", "access_key"),
+}
+# Prefixes of keys that services hand out, and how many characters follow, at least and at most.
+PREFIXES = {
+    "AKIA": (16, 16),
+    "ASIA": (16, 16),
+    "AIza": (35, 35),
+    "ghp_": (36, 255),
+    "gho_": (36, 255),
+    "ghs_": (36, 255),
+    "github_pat_": (36, 255),
+    "xoxb-": (20, 255),
+    "xoxp-": (20, 255),
+    "sk-": (20, 255),
+}
+_BLOCK = "-----begin"
 
 _DIGITS = frozenset(string.digits)
 _LABEL = frozenset(string.ascii_letters + string.digits + "-")
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
+_WORD = frozenset(string.ascii_letters + string.digits)
+_KEY = frozenset(string.ascii_letters + string.digits + "_-")
 _PHONE = frozenset(string.digits + " ().-")
-_GAP = frozenset(" :#.-\t")
+_GAP = frozenset(" :#.-=\t\r\n\"'")
+# Words between a cue and what it announces.
+_JOINING = ("numbers", "number", "num", "no", "nr", "is", "was", "are", "code", "id")
 # How far an identifier may lie behind the end of its cue.
-_REACH = 12
+_REACH = 32
 _IBAN_MOST = 34
 
 SPANS = "array<struct<kind: string, start: long, end: long>>"
@@ -55,10 +84,13 @@ def _anchors() -> ahocorasick.Automaton:
     found.add_word("@", "email")
     found.add_word("+", "phone")
     found.add_word("://", "login")
+    # Texts are searched in small letters.
     for kind, cues in CUES.items():
         for cue in cues:
-            for form in (cue, cue.upper(), cue.capitalize()):
-                found.add_word(form, kind)
+            found.add_word(cue, kind)
+    for prefix in PREFIXES:
+        found.add_word(prefix.lower(), prefix)
+    found.add_word(_BLOCK, "block")
     found.make_automaton()
     return found
 
@@ -155,8 +187,18 @@ def _login(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return (start, end) if end > word + 1 else None
 
 
-def _iban(text: str, at: int) -> tuple[int, int] | None:
-    start = _run(text, at, _GAP, _REACH)
+def _announced(text: str, at: int) -> int:
+    """Where what a cue announces begins: behind marks and joining words."""
+    most = min(len(text), at + _REACH)
+    while True:
+        at = _run(text, at, _GAP, most - at)
+        end = _run(text, at, _WORD, most - at)
+        if end == at or text[at:end].lower() not in _JOINING:
+            return at
+        at = end
+
+
+def _iban(text: str, start: int) -> tuple[int, int] | None:
     kept, end, at = "", start, start
     while at < len(text) and len(kept) < _IBAN_MOST:
         char = text[at]
@@ -176,8 +218,7 @@ def _mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
-def _ssn(text: str, at: int) -> tuple[int, int] | None:
-    start = _run(text, at, _GAP, _REACH)
+def _ssn(text: str, start: int) -> tuple[int, int] | None:
     piece = text[start : start + 11]
     shape = "".join("9" if c in _DIGITS else c for c in piece)
     follows = text[start + 11 : start + 12]
@@ -186,6 +227,75 @@ def _ssn(text: str, at: int) -> tuple[int, int] | None:
     return start, start + 11
 
 
+def _digits(text: str, start: int) -> str:
+    """A run of digits that no letter follows."""
+    end = _run(text, start, _DIGITS, 40)
+    return "" if text[end : end + 1].isalnum() else text[start:end]
+
+
+def _routing(text: str, start: int) -> tuple[int, int] | None:
+    digits = _digits(text, start)
+    valid = len(digits) == 9 and digits != "0" * 9 and sum(int(d) * (3, 7, 1)[i % 3] for i, d in enumerate(digits)) % 10 == 0
+    return (start, start + 9) if valid else None
+
+
+def _account(text: str, start: int) -> tuple[int, int] | None:
+    digits = _digits(text, start)
+    return (start, start + len(digits)) if 6 <= len(digits) <= 17 else None
+
+
+def _passport(text: str, start: int) -> tuple[int, int] | None:
+    end = _run(text, start, _WORD, 10)
+    code = text[start:end]
+    valid = 6 <= len(code) <= 9 and sum(c in _DIGITS for c in code) >= 5 and code == code.upper()
+    return (start, end) if valid and not text[end : end + 1].isalnum() else None
+
+
+def _given(text: str, at: int) -> tuple[int, int] | None:
+    """The value of a password or key: after a mark, at least eight characters of two sorts without blanks."""
+    start = _announced(text, at)
+    if not any(c in "=:" for c in text[at:start]):
+        return None
+    end = start
+    while end < len(text) and not text[end].isspace() and text[end] not in "\"'`,;<>()":
+        end += 1
+    while end > start and text[end - 1] in ".!?":
+        end -= 1
+    value = text[start:end]
+    sorts = (any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value))
+    return (start, end) if len(value) >= 8 and sum(sorts) >= 2 else None
+
+
+def _key(text: str, end: int, prefix: str) -> tuple[int, int] | None:
+    """A key by its prefix, which ends at ``end``; digits tell it from words."""
+    start = end - len(prefix)
+    if text[start:end] != prefix or text[start - 1 : start].isalnum():
+        return None
+    least, most = PREFIXES[prefix]
+    last = _run(text, end, _WORD if least == most == 16 else _KEY, most + 1)
+    value = text[end:last]
+    return (start, last) if least <= len(value) <= most and any(c in _DIGITS for c in value) else None
+
+
+def _block(text: str, lower: str, at: int) -> tuple[int, int] | None:
+    """A private key with its marks, or up to the end of the text if it is cut."""
+    start = at - len(_BLOCK)
+    if "private key-----" not in lower[at : at + 40]:
+        return None
+    end = lower.find("-----end", at)
+    close = lower.find("-----", end + 8) if end >= 0 else -1
+    return start, close + 5 if close >= 0 else len(text)
+
+
+_PARSERS = {"iban": _iban, "ssn": _ssn, "routing": _routing, "account": _account, "passport": _passport}
+
+
+def _lower(text: str) -> str:
+    """Small letters at the same places."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text, by start and then by kind as ``KINDS`` lists them."""
     if not text:
@@ -193,8 +303,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     # Where the next match of a kind may begin.
     email = ip = card = phone = login = 0
-    digits = -1
-    for last, kind in once_a_worker("pii anchors", _anchors).iter(text):
+    digits = block = -1
+    lower = _lower(text)
+    for last, kind in once_a_worker("pii anchors", _anchors).iter(lower):
         if kind == "number":
             if last >= card:
                 end, valid = _card(text, last)
@@ -222,8 +333,15 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if span := _login(text, last - 2, login):
                 login = span[1]
                 found.append(("login", *span))
-        elif span := (_iban if kind == "iban" else _ssn)(text, last + 1):
-            found.append((kind, *span))
+        elif kind in _PARSERS:
+            if span := _PARSERS[kind](text, _announced(text, last + 1)):
+                found.append((kind, *span))
+        elif kind == "block":
+            if last > block and (span := _block(text, lower, last + 1)):
+                block = span[1]
+                found.append(("secret", *span))
+        elif span := _given(text, last + 1) if kind == "given" else _key(text, last + 1, kind):
+            found.append(("secret", *span))
     order = {kind: i for i, kind in enumerate(KINDS)}
     return sorted(set(found), key=lambda s: (s[1], order[s[0]], s[2]))
 

@@ -103,7 +103,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("of_base", F.filter("found", lambda s: s["kind"].isin(*base)))
     kinds = F.transform("of_base", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in base]
-    return rows.select("doc_id", *counts, F.sha2(_listed("of_base"), 256).alias("base_sha256"), _listed("found").alias("spans"))
+    added = (F.size("found") - F.size("of_base")).cast("long").alias("n_added")
+    return rows.select(
+        "doc_id", *counts, F.sha2(_listed("of_base"), 256).alias("base_sha256"), _listed("found").alias("spans"), added, F.size("found").cast("long").alias("n_spans")
+    )
 
 
 @query()
