@@ -387,16 +387,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one of the smallest id, and all its columns.
+    """``docs`` with one row of each component, the one of the smallest id, and all its columns.
 
-    Of rows with the same id the one with the largest text stays. Rows without
-    an id belong to no component and stay.
+    Rows are compared by their texts alone: rows that share an id, or have none,
+    are documents each, numbered for the purpose where there are such. A null
+    id is the largest; of rows with equal ids one of a component stays. Texts
+    without words stay, all of them. An empty table gives an empty result.
     """
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    repeated = stored(repeated)
-    if not repeated.isEmpty():
-        order = Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())
-        first = docs.join(repeated, "doc_id", "left_semi").withColumn("_first", F.row_number().over(order)).where("_first = 1")
-        docs = stored(docs.join(repeated, "doc_id", "left_anti").unionByName(first.drop("_first")))
-    gone = near_duplicates(docs, size, percent).where("NOT kept").select("doc_id")
-    return docs.join(stored(gone), "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 OR doc_id IS NULL").isEmpty():
+        gone = near_duplicates(docs, size, percent).where("NOT kept").select("doc_id")
+        return docs.join(stored(gone), "doc_id", "left_anti").select(*docs.columns)
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")))
+    found = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), size, percent)
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    order = F.struct(F.col("_doc.doc_id").isNull().alias("none"), F.col("_doc.doc_id").alias("id"), F.col("_row").alias("row"))
+    named = numbered.select("_row", order.alias("order")).join(found, "_row")
+    first = stored(named.groupBy("_component").agg(F.min("order").alias("first")).select(F.col("first.row").alias("_row")))
+    return numbered.join(first, "_row", "left_semi").select("_doc.*")

@@ -122,7 +122,8 @@ def test_odd_rows(spark):
     kept = without_near_duplicates(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({i for i, (_, c) in found.items() if i == c}) and ids.count(None) == 1
+    # The other text of the id 2 stays as well.
+    assert sorted(i for i in ids if i is not None) == sorted([2, *(i for i, (_, c) in found.items() if i == c)]) and ids.count(None) == 1
     assert near_duplicates(none(spark)).count() == 0 and without_near_duplicates(none(spark)).count() == 0
 
 
@@ -144,3 +145,13 @@ def test_signature_bits_are_independent_by_permutation():
         chance = 0.5**near_dedup.BITS
         lost += ((1 - differ / near_dedup.PERMUTATIONS) - chance) / (1 - chance) < near_dedup._least_estimate(0.8)
     assert lost <= 1
+
+
+def test_rows_are_compared_by_text_whatever_their_ids(spark):
+    """Different texts of one id all stay; copies go, also those without an id or of the same id."""
+    rows = [(1, prose(i, 70)) for i in range(12)] + [(None, prose(i, 70) + " end") for i in range(3)]
+    rows += [(None, prose(50, 60)), (None, prose(50, 60)), (2, prose(50, 60)), (3, None), (None, ""), (None, None), (9, prose(60, 90)), (9, prose(60, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(map(tuple, without_near_duplicates(docs).collect()), key=str)
+    expected = [(1, prose(i, 70)) for i in range(12)] + [(2, prose(50, 60)), (3, None), (None, ""), (None, None), (9, prose(60, 90))]
+    assert kept == sorted(expected, key=str)
