@@ -36,6 +36,7 @@ from millrace.llm.common import stored
 from millrace.llm.near_dedup import _measured as measured
 from millrace.llm.near_dedup import _set_hash as set_hash
 from millrace.llm.near_dedup import components, shingle_hashes
+from millrace.workspace import drop_folder, new_folder
 
 # Shingles that the sieve takes beyond a prefix, in percent of a set; partners share as many.
 SIEVE = 10
@@ -148,8 +149,11 @@ def _credited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _survivors(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """All documents (``doc_id``, ``key``, ``n``, ``set_a``, ``set_b``), and the classes that may have a partner."""
-    sieved = stored(docs.mapInArrow(_sieve(size, percent), _SIEVED_TYPE))
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession)
+    docs.mapInArrow(_sieve(size, percent), _SIEVED_TYPE).write.parquet(f"{folder}/rows")
+    sieved = spark.read.schema(_SIEVED_TYPE).parquet(f"{folder}/rows")
     signed = sieved.where(F.col("kind") == DOCUMENT).select(F.col("b").alias("doc_id"), F.col("a").alias("key"), "n", "set_a", "set_b")
+    signed = stored(signed)
     postings = sieved.where(F.col("kind") == POSTING).select(F.col("a").alias("shingle"), F.col("b").alias("key"))
     credits = postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_credited, "key long, n long")
     known = sieved.where(F.col("kind") == CREDIT).select(F.col("a").alias("key"), F.col("b").alias("n"))
@@ -159,7 +163,10 @@ def _survivors(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     least = F.least(-F.floor(-percent * smallest / 100), -F.floor(-SIEVE * smallest / 100))
     left = signed.join(credits, "key").where(F.col("shared") >= least)
     classes = left.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
-    return signed, stored(classes.withColumn("id", F.monotonically_increasing_id()))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))
+    # What is left of the postings is stored; they are a third of the input.
+    drop_folder(spark, folder)
+    return signed, classes
 
 
 def _shingles(size: int):
