@@ -12,8 +12,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,11 @@ from millrace.llm import simple8b
 from millrace.llm.common import once_a_worker
 
 SEGMENT_IDS = 1 << 18
-# Chunks that a worker remembers of late and of before, some 200 bytes each.
-CACHE_ENTRIES = 250_000
+# Pieces that a worker remembers of late, and as many from before: some 200 bytes each, as those
+# of more characters than these are not kept.
+CACHE_ENTRIES = 100_000
+LONGEST_KEPT = 64
 TEXTS_A_BATCH = 256
-# Pieces that are encoded at once: what the library returns for one takes some hundred bytes.
-PIECES_AT_ONCE = 2048
 
 SEGMENT = (
     "part int, start long, n_ids long, doc_ids array<long>, lengths array<long>,"
@@ -68,107 +69,80 @@ _PIECE = re.compile(
     rf" ?[{_LETTER}]+(?![^{_WHITE}{_MARK}])| ?[{_MARK}]+(?![^{_WHITE}{_LETTER}])"
     rf"|[{_WHITE}]+(?![^{_WHITE}])| ?[^{_WHITE}]+|[{_WHITE}]"
 )
-
-
-def _is_word(chunk: str) -> bool:
-    """Whether a chunk has letters of Latin-1 alone, which the pattern takes for letters too."""
-    return chunk.isalpha() and (chunk.isascii() or max(chunk) <= "\xff")
+# Of these pieces the byte-level pattern makes one each.
+_WHOLE = re.compile(rf" ?(?:[{_LETTER}]+|[{_MARK}]+|[0-9]+)")
+# Byte-level characters: a printable character of Latin-1 stands for its byte, those from 256 for the other bytes.
+_SHOWN = [b for b in range(256) if b != ord(" ") and chr(b).isprintable()]
+_BYTE_LEVEL = {b: 256 + n for n, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
+_SPACE = chr(_BYTE_LEVEL[ord(" ")])
+
+
+class _Remembered(dict):
+    """What ``make`` gives for a piece: that of late, and as much from before."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= CACHE_ENTRIES:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class Encoder:
     """Texts to ids as little-endian 32-bit bytes.
 
-    A text is cut at its single spaces, and the ids of the chunks are remembered:
-    those of late, up to ``CACHE_ENTRIES``, and as many from before. A chunk of
-    letters is one piece, and two with a mark at its end; others are cut by the
-    pattern. A chunk that begins
-    or ends with white space shows a text that must be cut by the pattern alone,
-    as one does that holds the string of a special token. Tokenizers of another
-    kind get the whole texts.
+    A text is cut into pieces that encode one by one, and their ids are remembered,
+    in two generations of ``CACHE_ENTRIES``. A piece of which the tokenizer's pattern
+    makes one goes to its model at once. A text that holds the string of a special
+    token goes to the tokenizer whole, as do all texts of tokenizers of another kind.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        whole = json.loads(self.tokenizer.to_str())
-        split = whole["pre_tokenizer"] or {}
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        parts = (self.tokenizer.normalizer, self.tokenizer.post_processor, self.tokenizer.truncation, self.tokenizer.padding)
+        split = self.tokenizer.pre_tokenizer
+        split = json.loads(split.__getstate__()) if split else {}
         self.by_piece = (
-            not (whole["normalizer"] or whole["post_processor"] or split.get("add_prefix_space"))
+            all(p is None for p in parts)
+            and isinstance(self.model, BPE)
+            and not self.model.dropout
             and split.get("type") == "ByteLevel"
             and split.get("use_regex", True)
-            and len(self.newline) == 1
+            and not split.get("add_prefix_space")
         )
-        self.added = [t["content"] for t in whole["added_tokens"]]
-        self.marks = dict(zip(".,;:!?", self._ids(list(".,;:!?")), strict=True))
-        self.late: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of pieces without white space but for one space before, which a newline keeps apart in one text."""
-        found: list[bytes] = []
-        for at in range(0, len(words), PIECES_AT_ONCE):
-            ids = self._ids(["\n".join(words[at : at + PIECES_AT_ONCE])])[0]
-            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == self.newline[0]) * 4
-            starts = [0, *(ends + 4).tolist()]
-            found += [ids[a:b] for a, b in zip(starts, [*ends.tolist(), len(ids)], strict=True)]
-        return found
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = _Remembered(self._piece)
 
-    def _by_pieces(self, texts: list[str]) -> list[bytes]:
-        cut = [_PIECE.findall(text) for text in texts]
-        known = dict.fromkeys(set().union(*cut))
-        white = [p for p in known if p.isspace() or "\n" in p]
-        words = [p for p in known if not (p.isspace() or "\n" in p)]
-        known.update(zip(white, self._ids(white), strict=True))
-        known.update(zip(words, self._words(words), strict=True))
-        return [b"".join(map(known.__getitem__, some)) for some in cut]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Remember the ids of chunks that follow a space."""
-        if len(self.late) + len(chunks) > CACHE_ENTRIES:
-            self.late, self.before = {}, self.late
-        else:
-            chunks = chunks.difference(self.late)
-        ended = {c: c[:-1] for c in chunks if c[-1:] in self.marks and _is_word(c[:-1])}
-        chunks = chunks.difference(ended).union(s for s in ended.values() if s not in self.late)
-        known = chunks & self.before.keys()
-        self.late.update((c, self.before[c]) for c in known)
-        chunks = chunks - known
-        plain = [c for c in chunks if _is_word(c)]
-        self.late.update(zip(plain, self._words([f" {c}" for c in plain]), strict=True))
-        self.late.update((c, self.late[stem] + self.marks[c[-1]]) for c, stem in ended.items())
-        # What str takes for white space holds all that the pattern does.
-        rest = chunks.difference(plain)
-        whole = [c for c in rest if c and not (c[0].isspace() or c[-1].isspace())]
-        self.late.update(zip(whole, self._by_pieces([f" {c}" for c in whole]), strict=True))
-        self.late.update((c, None) for c in rest if not c or c[0].isspace() or c[-1].isspace())
+    def _ids(self, text: str) -> bytes:
+        (done,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(done.ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not _WHOLE.fullmatch(piece):
+            return self._ids(piece)
+        shown = piece.replace(" ", _SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        tokens = self.model.tokenize(shown)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def _text(self, text: str) -> bytes:
+        if not self.by_piece or any(special in text for special in self.added):
+            return self._ids(text)
+        return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self._ids(texts)
-        odd = [i for i, text in enumerate(texts) if any(special in text for special in self.added)]
-        if odd:
-            found = self.encode(["" if i in odd else text for i, text in enumerate(texts)])
-            for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-                found[i] = ids
-            return found
-        cut = [text.split(" ") for text in texts]
-        self._learn(set().union(*cut))
-        firsts = self._by_pieces([chunks[0] for chunks in cut])
-        find = self.late.__getitem__
-        found = []
-        for text, first, chunks in zip(texts, firsts, cut, strict=True):
-            try:
-                whole = first + b"".join(map(find, chunks[1:])) if find(chunks[0]) is not None else None
-            except TypeError:
-                whole = None
-            found.append(self._by_pieces([text])[0] if whole is None else whole)
-        return found
+        return [self._text(text) for text in texts]
 
 
 def _segments(path: str, end_id: int | None, segment_ids: int):
