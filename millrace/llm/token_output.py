@@ -28,7 +28,7 @@ from millrace.llm.common import once_a_worker
 SEGMENT_IDS = 1 << 18
 # Pieces that a worker remembers of late, and as many from before: some 200 bytes each, as those
 # of more characters than these are not kept.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 200_000
 LONGEST_KEPT = 64
 TEXTS_A_BATCH = 256
 
@@ -130,9 +130,12 @@ class Encoder:
         return np.array(done.ids, dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if not _WHOLE.fullmatch(piece):
+        if piece.isascii() and piece.lstrip(" ").isalpha():
+            shown = piece.replace(" ", _SPACE)
+        elif _WHOLE.fullmatch(piece):
+            shown = piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        else:
             return self._ids(piece)
-        shown = piece.replace(" ", _SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
         tokens = self.model.tokenize(shown)
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
