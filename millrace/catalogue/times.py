@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.catalogue.inputs import table
 from millrace.catalogue.registry import query
 from millrace.operators.asof import asof_join
+from millrace.operators.overlap import overlap_join
 
 # A third of all events is of one user.
 _USERS = "SELECT *, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS who FROM events"
@@ -54,3 +55,28 @@ def asof_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     others = events.where("event_type <> 'view'").select("event_id", "who", "ts")
     return asof_join(others, _views(events), ["who"], "ts", "view_ts", how="inner", order=["view_id"])
+
+
+def _spans(events: DataFrame, kind: str, start: str, end: str, seconds: str) -> DataFrame:
+    until = F.expr(f"timestampadd(SECOND, CAST({seconds} AS INT), ts)")
+    return events.where(F.col("event_type") == kind).select("who", F.col("ts").alias(start), until.alias(end), F.col("event_id").alias(f"{kind}_id"))
+
+
+@query(
+    f"""
+    WITH e AS ({_USERS}), views AS (
+      SELECT who, event_id, ts AS viewed, ts + to_seconds(CAST(floor(value * 60) AS BIGINT)) AS closed FROM e WHERE event_type = 'view'
+    ), errors AS (
+      SELECT who, event_id, ts AS broken, ts + to_seconds(CASE WHEN event_id % 20 = 0 THEN 21600 ELSE event_id % 50 END) AS mended
+      FROM e WHERE event_type = 'error'
+    )
+    SELECT views.who, viewed, closed, views.event_id AS view_id, broken, mended, errors.event_id AS error_id
+    FROM views JOIN errors ON views.who = errors.who AND viewed < mended AND broken < closed AND viewed < closed AND broken < mended
+    """
+)
+def overlap_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every view with the errors of its user that were open while it was, some of them for hours."""
+    events = _events(spark, sf_dir)
+    views = _spans(events, "view", "viewed", "closed", "floor(value * 60)")
+    errors = _spans(events, "error", "broken", "mended", "CASE WHEN event_id % 20 = 0 THEN 21600 ELSE event_id % 50 END")
+    return overlap_join(views, errors, ("viewed", "closed"), ("broken", "mended"), ["who"], rows_a_cell=200)

@@ -1,0 +1,93 @@
+"""Overlap joins against all pairs."""
+
+from __future__ import annotations
+
+import random
+from datetime import date, datetime
+
+import pytest
+
+from millrace.operators.overlap import overlap_join
+
+
+def _tables(spark, left, right, kind="int"):
+    return (
+        spark.createDataFrame(left, f"k string, a {kind}, b {kind}, name string").repartition(3),
+        spark.createDataFrame(right, f"k string, since {kind}, until {kind}, v double").repartition(3),
+    )
+
+
+def _join(spark, left, right, keys=("k",), kind="int", **options):
+    return overlap_join(*_tables(spark, left, right, kind), ("a", "b"), ("since", "until"), list(keys), **options)
+
+
+def _brute(left, right):
+    return sorted(
+        (
+            (k, a, b, name, since, until, v)
+            for k, a, b, name in left
+            for q, since, until, v in right
+            if None not in (k, q, a, b, since, until) and k == q and a < b and since < until and a < until and since < b
+        ),
+        key=str,
+    )
+
+
+def _rows(rng, n, value):
+    rows = []
+    for i in range(n):
+        start = rng.choice([None, *range(-300, 300)])
+        length = rng.choice([-3, 0, 1, 1, 2, 5, 8, 9, 64, 65, 3000])
+        end = rng.choice([None, start + length, start + length, start + length]) if start is not None else 4
+        rows.append((rng.choice(["hot", "hot", "hot", "a", "b", None]), start, end, value(i)))
+    return rows + rows[:7]
+
+
+@pytest.mark.parametrize("rows_a_cell", [3, 20_000])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlaps(spark, seed, rows_a_cell):
+    """A hot key, lengths of many levels, negative points, touching and empty spans, nulls, repeated rows."""
+    rng = random.Random(seed)
+    left, right = _rows(rng, 150, lambda i: f"n{i}"), _rows(rng, 120, lambda i: rng.choice([None, i / 2]))
+    found = _join(spark, left, right, rows_a_cell=rows_a_cell)
+    assert found.columns == ["k", "a", "b", "name", "since", "until", "v"]
+    assert sorted(map(tuple, found.collect()), key=str) == _brute(left, right)
+
+
+def test_empty_sides(spark):
+    rows = [("a", 1, 5, "n")], [("a", 0, 9, 2.0)]
+    for left, right in ((rows[0], []), ([], rows[1]), ([], []), ([("a", None, None, "n")], rows[1])):
+        assert _join(spark, left, right).collect() == []
+
+
+def test_without_keys_and_widest_spans(spark):
+    most = (1 << 61) - 1
+    left, right = [("a", -most, most, "n"), ("b", 3, 4, "m")], [("c", 0, 1, 1.0), ("d", most - 1, most, 2.0), ("e", 3, 9, 3.0)]
+    a, b = _tables(spark, left, right, "long")
+    found = overlap_join(a.drop("k"), b.drop("k"), ("a", "b"), ("since", "until"))
+    assert sorted((r.name, r.v) for r in found.collect()) == [("m", 3.0), ("n", 1.0), ("n", 2.0), ("n", 3.0)]
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "date"])
+def test_times(spark, kind):
+    def at(day):
+        return date(2024, 3, day) if kind == "date" else datetime(2024, 3, day, 1, 30)
+
+    left, right = [("a", at(1), at(3), "n"), ("a", at(3), at(4), "m")], [("a", at(2), at(3), 1.0), ("a", at(1), at(31), 2.0)]
+    assert sorted(map(tuple, _join(spark, left, right, kind=kind).collect()), key=str) == _brute(left, right)
+
+
+def test_the_plan_has_no_range_join(spark):
+    rows = [("a", i, i + 3, "n") for i in range(50)], [("a", i, i + 9, 2.0) for i in range(50)]
+    plan = _join(spark, *rows)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_refused(spark):
+    left, right = _tables(spark, [], [])
+    with pytest.raises(ValueError, match="both tables"):
+        overlap_join(left, right.withColumnRenamed("v", "name"), ("a", "b"), ("since", "until"), ["k"])
+    with pytest.raises(ValueError, match="different kinds"):
+        overlap_join(left, right.withColumn("until", right["v"].cast("timestamp")), ("a", "b"), ("since", "until"), ["k"])
+    with pytest.raises(ValueError, match="a bound is"):
+        overlap_join(left, right, ("a", "name"), ("since", "until"), ["k"])
