@@ -16,6 +16,7 @@ from millrace.plans.topics import documents_to_console, rows_to_console, rows_to
 from millrace.sinks.files import append_documents
 from millrace.sinks.topics import append_events
 from millrace.sources.topics import end_offset, event_log, event_log_stream
+from millrace.streaming.joins import join_within
 from millrace.streaming.sinks import finish, start_files
 from millrace.workspace import new_folder
 
@@ -164,3 +165,26 @@ def captured_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark, f"{folder}/log", topic).agg(
         F.count("*").alias("records"), F.countDistinct("partition", "offset").alias("places")
     )
+
+
+@query(
+    """
+    WITH e AS (SELECT event_id, ts, event_type, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS who FROM events)
+    SELECT v.who, v.ts AS viewed, v.event_id AS view_id, f.ts AS failed, f.event_id AS error_id
+    FROM e v JOIN e f ON v.who = f.who AND f.ts >= v.ts AND f.ts <= v.ts + INTERVAL 10 MINUTE
+    WHERE v.event_type = 'view' AND f.event_type = 'error'
+    """
+)
+def stream_joined_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two topics joined: views with the errors of their user in the ten minutes after them; a third has one user."""
+    who = F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id")).alias("who")
+    clicks = table(spark, sf_dir, "events")
+    sides = []
+    for kind, time, key in (("view", "viewed", "view_id"), ("error", "failed", "error_id")):
+        schema = row(**{"who": LongType, time: TimestampNTZType, key: LongType})
+        topic = topic_name("shop", "public", kind)
+        rows = clicks.where(F.col("event_type") == kind).select(who, F.col("ts").alias(time), F.col("event_id").alias(key))
+        log = write_log(snapshot_to_events(rows, [key], topic), topic)
+        sides.append(decode_rows(event_log_stream(spark, log, topic), schema))
+    # Files of a log come in any order, so rows may be as late as the topics are long.
+    return _filed(join_within(*sides, ["who"], "viewed", "failed", 600, delay="3650 days"))
