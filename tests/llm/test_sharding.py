@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -38,6 +39,34 @@ def test_every_shard_has_the_mixture(spark, n, buckets):
         assert sorted(first) != sorted(interleaved_shards(frame, 16, seed=4, buckets=buckets).collect())
 
 
+def _seeded(seed, *parts) -> int:
+    return int(hashlib.md5(":".join([str(seed), *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+
+def _interleaved(sources: dict, shards: int, seed: int) -> dict:
+    """Shard and slot of each row, by sorting: once each source, once all rows."""
+    placed = []
+    for source in set(sources.values()):
+        ids = sorted((i for i, s in sources.items() if s == source), key=lambda i: (_seeded(seed, i), i))
+        offset = (_seeded(seed, "offset", source) + 0.5) / (1 << 60)
+        placed += [((rank + offset) / len(ids), source, i) for rank, i in enumerate(ids)]
+    found, filled = {}, Counter()
+    for row, (_, _, i) in enumerate(sorted(placed)):
+        shard = row * shards // len(placed)
+        found[i] = (shard, filled[shard])
+        filled[shard] += 1
+    return found
+
+
+@pytest.mark.parametrize("n, buckets, shards", [(5, 1024, 16), (700, 4, 16), (700, 1024, 7)])
+def test_against_sorting(spark, n, buckets, shards):
+    """Every row where sorting puts it, a third of them of one source, and sources of a single row."""
+    sources = {i: "hot" if i % 3 == 0 else f"one{i}" if i % 11 == 0 else f"s{i % 5}" for i in range(n)}
+    frame = spark.createDataFrame(list(sources.items()), "doc_id long, source string").repartition(3)
+    found = {r.doc_id: (r.shard, r.slot) for r in interleaved_shards(frame, shards, seed=5, buckets=buckets).collect()}
+    assert found == _interleaved(sources, shards, 5)
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     n = docs.count()
