@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,6 +15,9 @@ from millrace.functions.envelope import after_text
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 CLASSED = "topic string, key binary, partition int, offset long, kind string"
+BUCKETS = 1 << 11
+# The live keys of a bucket, the digests of their rows, and the time of their last events if they are to be forgotten.
+KEPT = "keys array<binary>, digests array<binary>, seen array<long>"
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
@@ -23,37 +27,49 @@ def keep_state_on_disk(spark: SparkSession) -> None:
 
 
 class _Classify(StatefulProcessor):
-    """Keeps a digest of the row that each live key has."""
+    """Keeps a digest of the row that each live key has, for the keys of one bucket at once."""
 
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "digest string", self.idle_ms)
+        self.last = handle.getValueState("last", KEPT, self.idle_ms)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        time = 0 if self.idle_ms is None else timerValues.getCurrentProcessingTimeInMs()
         state = self.last.get()
-        last = kept = state[0] if state else None
-        # Places and digests only, of one key in one batch.
-        for event in sorted(rows, key=lambda r: (r["offset"], r["partition"])):
-            now = event["digest"]
-            if now == last:
+        kept = {} if state is None else {k: (digest, seen) for k, digest, seen in zip(*state, strict=True)}
+        if self.idle_ms is not None:
+            kept = {k: own for k, own in kept.items() if own[1] + self.idle_ms > time}
+        last = dict(kept)
+        # Places and digests only, of one bucket in one batch.
+        events = pd.concat(list(rows)).sort_values(["offset", "partition"])
+        kinds = []
+        for k, now in zip(events["key"], events["digest"], strict=True):
+            was = last[k][0] if k in last else None
+            if now == was:
                 kind = "repeat"
             else:
-                kind = "insert" if last is None else "delete" if now is None else "update"
-            last = now
-            yield Row(topic=key[0], key=key[1], partition=event["partition"], offset=event["offset"], kind=kind)
-        if last is None and kept is not None:
-            # A closed key is forgotten.
-            self.last.clear()
-        elif last is not None and (last != kept or self.idle_ms is not None):
-            self.last.update((last,))
+                kind = "insert" if was is None else "delete" if now is None else "update"
+            kinds.append(kind)
+            if now is not None:
+                last[k] = (now, time)
+            else:
+                # A closed key is forgotten.
+                last.pop(k, None)
+        if not last:
+            if state is not None:
+                self.last.clear()
+        elif last != kept or self.idle_ms is not None:
+            digests, seen = zip(*last.values(), strict=True)
+            self.last.update((list(last), list(digests), list(seen)))
+        yield pd.DataFrame({"topic": key[0], **{c: events[c] for c in ("key", "partition", "offset")}, "kind": kinds})
 
     def close(self) -> None:
         pass
 
 
-def classed_changes(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def classed_changes(events: DataFrame, idle_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Each event of a stream with what it does to its key: ``insert``, ``update``, ``delete`` or ``repeat``.
 
     The event before it by offset decides, also one of an earlier batch or start:
@@ -63,10 +79,14 @@ def classed_changes(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     ``idle_ms`` a key without events for so long is forgotten, too, and its next
     event inserts. Call ``keep_state_on_disk`` before the stream is started.
 
-    One shuffle by topic and key, of places and digests, not of values. The
-    events of one key meet in one task, since each depends on the one before it.
+    One shuffle by topic and bucket of keys, of places and digests, not of values.
+    A batch calls the processor, and reads and writes its state, once for each of the
+    ``buckets`` of a topic that it has events of, however many keys these are: some 100,000
+    live keys a bucket is a good size, and a checkpoint holds for one number. The events
+    of one key meet in one task, since each depends on the one before it.
     """
     after = after_text(F.col("value"))
-    narrow = events.select("topic", "key", "partition", "offset", F.sha2(after.cast("binary"), 256).alias("digest"))
+    digest, bucket = F.unhex(F.sha2(after.cast("binary"), 256)), F.pmod(F.xxhash64("key"), F.lit(buckets))
+    narrow = events.select("topic", bucket.alias("bucket"), "key", "partition", "offset", digest.alias("digest"))
     mode = "None" if idle_ms is None else "ProcessingTime"
-    return narrow.groupBy("topic", "key").transformWithState(_Classify(idle_ms), CLASSED, "append", mode)
+    return narrow.groupBy("topic", "bucket").transformWithStateInPandas(_Classify(idle_ms), CLASSED, "append", mode)

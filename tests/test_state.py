@@ -6,9 +6,11 @@ import random
 import shutil
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.catalogue.inputs import database, new_table_name
@@ -21,7 +23,7 @@ from millrace.sinks.database import ATTEMPT, PART, commit_load, load_once, load_
 from millrace.sinks.topics import TopicClaimed, append_events, claimed_end
 from millrace.sources.database import read_table
 from millrace.sources.topics import end_offset, event_log, event_log_stream
-from millrace.streaming.changes import classed_changes, keep_state_on_disk
+from millrace.streaming.changes import _Classify, classed_changes, keep_state_on_disk
 from millrace.streaming.sinks import finish, start_files
 
 TOPIC = "t.public.rows"
@@ -200,6 +202,49 @@ def test_classes_over_several_starts(spark, folder):
     assert kept.count() == sum(v is not None for v in state.values())
 
 
+def test_many_keys_share_a_bucket(spark, folder):
+    log, keys = f"{folder}/log", range(120)
+    keep_state_on_disk(spark)
+    for n in range(2):
+        _put(spark, log, [(k, None if n and k % 3 == 0 else "b" if n and k % 3 == 1 else "a") for k in keys])
+        classed = classed_changes(event_log_stream(spark, log, TOPIC), buckets=2)
+        finish(start_files(classed, f"{folder}/out", f"{folder}/checkpoint", bounded=True))
+    out = spark.read.parquet(f"{folder}/out").withColumn("id", F.get_json_object(F.col("key").cast("string"), "$.id").cast("long"))
+    found = {(r.id, r.kind) for r in out.collect()}
+    assert out.count() == 240 and found == {(k, "insert") for k in keys} | {(k, ["delete", "update", "repeat"][k % 3]) for k in keys}
+    kept = spark.read.format("statestore").option("stateVarName", "last").load(f"{folder}/checkpoint")
+    assert kept.count() <= 2
+
+
+def test_each_key_of_a_bucket_is_forgotten_by_itself():
+    class Held:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    held, classify = Held(), _Classify(idle_ms=10)
+    classify.init(held)
+
+    def kinds(time, *events):
+        rows = pd.DataFrame([(k, 0, n, d) for n, (k, d) in enumerate(events)], columns=["key", "partition", "offset", "digest"])
+        return [k for out in classify.handleInputRows(("t", 1), iter([rows]), TimerValues(time)) for k in out["kind"]]
+
+    assert kinds(0, (b"a", b"1"), (b"b", b"1"), (None, b"1")) == ["insert"] * 3
+    assert kinds(6, (b"a", b"1"), (b"c", None), (None, None)) == ["repeat", "repeat", "delete"]
+    assert kinds(12, (b"a", b"2"), (b"b", b"1")) == ["update", "insert"]
+    assert kinds(13, (b"a", None), (b"b", None)) == ["delete"] * 2 and held.value is None
+
+
 def test_merge_rewrites_what_a_batch_touches(spark, folder):
     log, state = f"{folder}/log", f"{folder}/state"
     assert merged_events(spark, state).count() == 0
