@@ -23,7 +23,8 @@ _TYPES = {
 def _opened(events: DataFrame) -> DataFrame:
     """The events with ``__after``, the row or document as a variant, and ``__reason`` where there is none to be read."""
     value = F.col("value").cast("string")
-    whole = events.withColumn("__whole", F.try_parse_json(value))
+    # Made by explode: a filter on it is not moved below, where each of its mentions would parse again.
+    whole = events.withColumn("__whole", F.explode(F.array(F.try_parse_json(value))))
     whole = whole.withColumn("__field", F.try_variant_get("__whole", "$.payload.after", "variant"))
     # Document events hold JSON in text.
     text = F.schema_of_variant("__field") == "STRING"
@@ -35,8 +36,9 @@ def _opened(events: DataFrame) -> DataFrame:
         .when(F.col("__field").isNull(), "no row")
         .when(~F.coalesce(F.schema_of_variant("__after").startswith("OBJECT<"), F.lit(False)), "not an object")
     )
-    parsed = parsed.withColumn("__reason", reason)
-    return parsed.withColumn("__after", F.when(~gone, F.col("__after"))).drop("__whole", "__field")
+    found = F.struct(F.when(~gone, F.col("__after")).alias("__after"), reason.alias("__reason"))
+    parsed = parsed.withColumn("__found", F.explode(F.array(found)))
+    return parsed.select(*(f"`{c}`" for c in events.columns), "__found.*")
 
 
 def _merged(types: Sequence[str]) -> str:
@@ -59,8 +61,8 @@ def field_types(events: DataFrame) -> DataFrame:
     """
     after = _opened(events).where(F.col("__reason").isNull() & F.col("__after").isNotNull()).select("__after")
     fields = after.lateralJoin(after.sparkSession.tvf.variant_explode(F.col("__after").outer()))
-    kind = F.regexp_extract(F.schema_of_variant("value"), r"^(OBJECT|ARRAY)<", 1)
-    kind = F.when(kind != "", kind).otherwise(F.schema_of_variant("value"))
+    kind = F.schema_of_variant("value")
+    kind = F.when(kind.startswith("OBJECT<"), "OBJECT").when(kind.startswith("ARRAY<"), "ARRAY").otherwise(kind)
     return fields.groupBy(F.col("key").alias("field"), kind.alias("type")).agg(F.count("*").alias("n"))
 
 

@@ -68,3 +68,10 @@ def test_empty_and_refused(spark, events):
     assert drifting_rows(none, merged_schema(none)).columns == ["rest"]
     with pytest.raises(ValueError, match="given twice"):
         drifting_rows(events, merged_schema(events), keep=["a"])
+
+
+def test_each_value_is_parsed_once(events):
+    for frame in (field_types(events), drifting_rows(events, StructType([])), rejected(events)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        # The value, and the text that documents are in.
+        assert plan.count("parseJson") == 2
