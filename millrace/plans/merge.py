@@ -44,9 +44,10 @@ def merge_topic(spark: SparkSession, log: str, topic: str, state: str, ranges: i
     """Bring the state of a topic up to the topic's end; returns how many ranges were rewritten.
 
     Keys are dealt to ``ranges`` by hash, fixed by the first merge: some 1 GB of
-    state a range is a good size. A merge reads the events since the one before,
-    reduces them to one a key, and rewrites the ranges that these are in: base
-    rows and new events are merged by offset, and deleted keys go. The folders of
+    state a range is a good size. A merge finds the ranges of the events since the one
+    before, from their keys alone, and rewrites these: each task reduces base rows
+    and new events to the last of each key, one shuffle brings these together, and
+    deleted keys go. The folders of
     all ranges are then committed in one file, so that a reader sees one version
     and a lost merge leaves none. Older folders stay for readers of older
     versions. Two merges of one state must not run at once.
@@ -59,15 +60,9 @@ def merge_topic(spark: SparkSession, log: str, topic: str, state: str, ranges: i
     own = F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int")
     new = event_log(spark, log, topic).where((F.col("offset") >= first) & (F.col("offset") < end))
     run = f"rows/{uuid.uuid4().hex}"
-    # Written, as it is read for the ranges and again for the rows.
-    delta = f"{state}/{run}/delta"
-    latest_events(new).withColumn("range", own).write.parquet(delta)
-    delta_rows = spark.read.parquet(delta)
-    touched = sorted(r["range"] for r in delta_rows.select("range").distinct().collect())
+    touched = sorted(r["range"] for r in new.select(own.alias("range")).distinct().collect())
     base = [f"{state}/{parts[r]}" for r in touched if r in parts]
-    rows = delta_rows.drop("range").select(*TOPIC_RECORD.names)
-    if base:
-        rows = rows.unionByName(spark.read.schema(TOPIC_RECORD).parquet(*base))
+    rows = new.unionByName(spark.read.schema(TOPIC_RECORD).parquet(*base)) if base else new
     merged = latest_events(rows).where(after_text(F.col("value")).isNotNull())
     merged.withColumn("range", own).write.partitionBy("range").parquet(f"{state}/{run}/base")
     files, folder = file_system(spark, f"{state}/{run}/base")

@@ -272,6 +272,17 @@ def test_merge_rewrites_what_a_batch_touches(spark, folder):
     assert _plain(current_rows(merged_events(spark, state), ROW)) == [(1, "back")]
 
 
+def test_a_merge_writes_rows_once(spark, folder):
+    log, state = f"{folder}/log", f"{folder}/state"
+    for rows in ([(i, "a") for i in range(40)], [(3, "b"), (3, "c"), (4, None)]):
+        _put(spark, log, rows)
+        merge_topic(spark, log, TOPIC, state, ranges=4)
+    runs = list(Path(state, "rows").iterdir())
+    assert len(runs) == 2 and all([p.name for p in run.iterdir()] == ["base"] for run in runs)
+    found = dict(_plain(current_rows(merged_events(spark, state), ROW)))
+    assert found.pop(3) in ("b", "c") and found == {i: "a" for i in range(40) if i not in (3, 4)}
+
+
 def test_a_merge_that_was_lost_is_repeated(spark, folder):
     log, state = f"{folder}/log", f"{folder}/state"
     _put(spark, log, [(1, "a"), (2, "b")])
