@@ -6,8 +6,10 @@ quantised count, level l standing for counts from 2^(l-1) on; a count is read
 back by testing level after level until one is missing. The filter's size
 follows the number of tokens without a bound. Up to ``FILTER_BYTES`` it is
 broadcast; a larger one stays in its regions, to which the n-grams of the texts
-are sent: each region's task answers with their levels, and texts and answers
-meet again by chunks of texts. ``Model.load`` is the share of bits set.
+are sent. Texts are dealt to chunks by hash, and a chunk sends each region its
+distinct keys there in order; the region's task answers with their levels alone.
+Where texts and answers meet, a chunk's keys are made again from its texts, in the
+same order. ``Model.load`` is the share of bits set.
 
 The filter is built in regions: each n-gram belongs to one, tasks send each
 region a packed list of keys and counts, and one task sets the bits of a
@@ -27,24 +29,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import once_a_worker, stored
+from millrace.llm.common import stored
 
 FILTER_BYTES = 96 << 20
 BITS_A_TOKEN = 8
 HASHES = 3
 REGION_TOKENS = 2_000_000
 FLUSH_TOKENS = 4_000_000
-# Tokens of texts, about, that are scored together where the filter is not broadcast.
+# Tokens of texts, about, that are scored together where the filter is not broadcast, and bytes of a token, about.
 CHUNK_TOKENS = 1_000_000
+TOKEN_BYTES = 6
+# Texts that are read at once.
+BLOCK = 200
 HEAD_WORDS = 1 << 17
 SMOOTHING = 16.0
 LEVELS = 40
-_KNOWN_WORDS = 400_000
 
 # The token after the last word; no word holds a space.
 END = b" "
@@ -53,12 +58,6 @@ _START = np.uint64(0x5851F42D4C957F2D)
 _UNIGRAM = np.uint64(0x14057B7EF767814F)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def tokens_of(text: str | None) -> list[bytes]:
     """Words, A-Z lower, and the end; a null text has the end alone."""
     tokens = (text or "").encode().lower().split()
@@ -72,11 +71,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _word_hashes(tokens: list[bytes]) -> np.ndarray:
-    known = once_a_worker("language model words", _Hashes)
-    if len(known) > _KNOWN_WORDS:
-        known.clear()
-    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+@dataclass(frozen=True)
+class Block:
+    """Texts as numbers of ``words``, ``sizes`` of each with its end; the end is the last of ``words``."""
+
+    words: list[bytes]
+    codes: np.ndarray
+    sizes: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+
+def _read(texts: pa.Array) -> Block:
+    """The tokens of each text, as ``tokens_of`` has them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    # White space at either end of a text leaves an empty word there.
+    real = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    sizes = np.diff(before[ends]) + 1
+    coded = flat.filter(real).cast(pa.binary()).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    codes = np.full(int(sizes.sum()), len(words), np.int64)
+    inside = np.ones(len(codes), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    codes[inside] = coded.indices.to_numpy()
+    return Block([*words, END], codes, sizes)
 
 
 def _unigrams(hashes: np.ndarray) -> np.ndarray:
@@ -91,6 +118,18 @@ def _bigrams(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(before) + hashes) & _KEY
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once; ``np.unique`` takes far longer for so many."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]])]
+
+
+def _ngrams(block: Block) -> np.ndarray:
+    """Keys of the pairs and, once each, of the words."""
+    hashes = _word_hashes(block.words)
+    return np.concatenate([_bigrams(hashes[block.codes], block.starts), _unigrams(hashes)])
+
+
 def _levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(counts.astype(np.float64))[1], LEVELS)
 
@@ -190,14 +229,33 @@ def _unpack(packed: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _by_region(keys: np.ndarray, regions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted keys by region, and where each region's begin in it."""
+    region = (keys % np.uint64(regions)).astype(np.uint16 if regions <= 1 << 16 else np.int64)
+    order = np.argsort(region, kind="stable")
+    return order, np.searchsorted(region[order], np.arange(regions + 1))
+
+
+def _pack_gaps(keys: np.ndarray, regions: int) -> bytes:
+    """Sorted keys of one region as the gaps between them, of 4 bytes if the widest fits and else of 6."""
+    gaps = np.diff(keys // np.uint64(regions), prepend=np.uint64(0))
+    return b"\4" + gaps.astype("<u4").tobytes() if gaps.max() < 1 << 32 else b"\6" + _pack(gaps)
+
+
+def _unpack_gaps(packed: bytes, region: int, regions: int) -> np.ndarray:
+    gaps = np.frombuffer(packed, "<u4", offset=1).astype(np.uint64) if packed[0] == 4 else _unpack(packed[1:])
+    return np.cumsum(gaps, dtype=np.uint64) * np.uint64(regions) + np.uint64(region)
+
+
 def _count_ngrams(regions: int):
     def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        region = (keys % np.uint64(regions)).astype(np.int64)
-        order = np.lexsort((counts > 1, region))
-        keys, counts, region = keys[order], counts[order], region[order]
+        # By region, single ones first; two bytes are sorted by their digits.
+        place = ((keys % np.uint64(regions)) * np.uint64(2) + (counts > 1)).astype(np.uint16 if regions <= 1 << 15 else np.int64)
+        order = np.argsort(place, kind="stable")
+        keys, counts = keys[order], counts[order]
         rows = []
-        edges = np.searchsorted(region, np.arange(regions + 1))
+        edges = np.searchsorted(place[order], 2 * np.arange(regions + 1))
         for r in np.flatnonzero(np.diff(edges)).tolist():
             own, n = keys[edges[r] : edges[r + 1]], counts[edges[r] : edges[r + 1]]
             single = int((n == 1).sum())
@@ -210,11 +268,10 @@ def _count_ngrams(regions: int):
         parts: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                texts = [tokens_of(t) for t in batch.column(0).slice(at, 500).to_pylist()]
-                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-                hashes = _word_hashes([t for some in texts for t in some])
-                parts += [_bigrams(hashes, np.cumsum(sizes) - sizes), _unigrams(hashes)]
+            for at in range(0, batch.num_rows, BLOCK):
+                block = _read(batch.column(0).slice(at, BLOCK))
+                hashes = _word_hashes(block.words)[block.codes]
+                parts += [_bigrams(hashes, block.starts), _unigrams(hashes)]
                 held += len(hashes)
                 if held >= FLUSH_TOKENS:
                     yield packed(parts)
@@ -295,110 +352,147 @@ _SCORED_TYPES = [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.flo
 _SCORED_NAMES = [part.split()[0] for part in _SCORED.split(", ")]
 
 
-def _score(model: Model, head: Broadcast):
-    """Scores of texts, by the broadcast filter or, without one, by their chunk's answers, which come before its texts."""
-    filled, total, distinct = model.filter, model.tokens, model.distinct
+def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """From where to where all ``columns`` stay the same."""
+    changes = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+    edges = [0, *changes.tolist(), len(columns[0])]
+    return [(at, end) for at, end in zip(edges, edges[1:]) if at < end]
+
+
+def _pieces(filled: Broadcast):
+    """Blocks of texts, the rows of each (``doc_id``, ``held_out``), and where counts are looked up."""
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Answers]]:
-        chunk, held, table = None, [], None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            number = batch.column("chunk").to_numpy()
-            text = batch.column("keys").is_null().to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero((np.diff(number) != 0) | (text[1:] != text[:-1])) + 1).tolist(), batch.num_rows]
-            for at, end in zip(edges, edges[1:]):
-                if at == end:
-                    continue
+            for at in range(0, batch.num_rows, BLOCK):
+                doc_id, held_out, texts = batch.slice(at, BLOCK).columns
+                yield _read(texts), [[own] for own in zip(doc_id.to_pylist(), held_out.to_pylist())], filled.value
+
+    return run
+
+
+def _pieces_of_chunks(regions: int):
+    """As ``_pieces``, of chunks whose answers, by region, come before their texts; equal texts of a chunk are one."""
+
+    def pieces(levels: list[np.ndarray], held: dict[str | None, list]) -> Iterator[tuple]:
+        if not held:
+            return
+        texts = pa.array(held, pa.string())
+        blocks = [_read(texts.slice(at, BLOCK)) for at in range(0, len(texts), BLOCK)]
+        keys = _distinct(np.concatenate([_ngrams(block) for block in blocks]))
+        found = np.empty(len(keys), np.int8)
+        found[_by_region(keys, regions)[0]] = np.concatenate(levels)
+        owners = list(held.values())
+        for i, block in enumerate(blocks):
+            yield block, owners[i * BLOCK : (i + 1) * BLOCK], Answers(keys, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        chunk, levels, held = None, [], {}
+        for batch in batches:
+            number, answer = batch.column("chunk").to_numpy(), batch.column("levels").is_valid().to_numpy(zero_copy_only=False)
+            for at, end in _runs(number, answer):
                 if number[at] != chunk:
-                    chunk, held, table = number[at], [], None
+                    yield from pieces(levels, held)
+                    chunk, levels, held = number[at], [], {}
                 some = batch.slice(at, end - at)
-                if not text[at]:
-                    both = zip(some.column("keys").to_pylist(), some.column("levels").to_pylist(), strict=True)
-                    held += [(_unpack(k), np.frombuffer(found, np.int8)) for k, found in both]
+                if answer[at]:
+                    levels += [np.frombuffer(found, np.int8) for found in some.column("levels").to_pylist()]
                     continue
-                if table is None:
-                    keys, found = (np.concatenate(part) for part in zip(*held, strict=True))
-                    order = np.argsort(keys)
-                    held, table = [], Answers(keys[order], found[order])
-                yield some.select(["doc_id", "held_out", "text"]), table
+                for doc_id, held_out, text in zip(*(some.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
+                    held.setdefault(text, []).append((doc_id, held_out))
+        yield from pieces(levels, held)
+
+    return run
+
+
+def _score(model: Model, head: Broadcast):
+    """Scores of texts, by the broadcast filter or, without one, by their chunk's answers."""
+    total, distinct = model.tokens, model.distinct
+    pieces = _pieces_of_chunks(model.regions) if model.filter is None else _pieces(model.filter)
+
+    def tails(block: Block, missed: np.ndarray) -> tuple[list, list]:
+        """The words of each text that ``missed`` names, and how often each is there."""
+        at = np.flatnonzero(missed[block.codes])
+        text = np.repeat(np.arange(len(block.sizes)), block.sizes)[at]
+        each, times = np.unique(text * len(missed) + block.codes[at], return_counts=True)
+        edges = np.searchsorted(each, np.arange(len(block.sizes) + 1) * len(missed)).tolist()
+        words, times = [block.words[c] for c in (each % len(missed)).tolist()], times.tolist()
+        return ([of[a:b] for a, b in zip(edges, edges[1:])] for of in (words, times))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCORED_TYPES, strict=True)], names=_SCORED_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = head.value
         norm = math.log10(total + distinct + 1)
         logs = {w: math.log10(n + 1) - norm for w, n in counted.items()}
         row = TaskContext.get().partitionId() << 40
-        for batch, table in chunks(batches) if filled is None else ((b, filled.value) for b in batches):
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                texts = [tokens_of(t) for t in some.column(2).to_pylist()]
-                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-                starts = np.cumsum(sizes) - sizes
-                hashes = _word_hashes([t for tokens in texts for t in tokens])
-                each, place = np.unique(hashes, return_inverse=True)
-                single = table.counts(_unigrams(each))[place]
-                before = np.empty_like(single)
-                before[1:] = single[:-1]
-                # A text begins as often as there are texts, which is how often one ends.
-                before[starts] = table.counts(_unigrams(_word_hashes([END])))[0]
-                own = (single + 1) / (total + distinct + 1)
-                chance = (table.counts(_bigrams(hashes, starts)) + SMOOTHING * own) / (before + SMOOTHING)
-                scores = np.add.reduceat(np.log10(np.minimum(chance, 1.0)), starts)
-                rows = []
-                for i, tokens in enumerate(texts):
-                    times = Counter(tokens)
-                    tail = [t for t in times if t not in logs]
-                    base = sum(n * logs[t] for t, n in times.items() if t in logs) if tail else sum(map(logs.__getitem__, tokens))
-                    missed = [times[t] for t in tail]
-                    rows.append((row, len(tokens), len(tokens) - sum(missed), base, tail, missed))
+        for block, owners, table in pieces(batches):
+            codes, starts, hashes = block.codes, block.starts, _word_hashes(block.words)
+            each = table.counts(_unigrams(hashes))
+            single = each[codes]
+            before = np.empty_like(single)
+            before[1:] = single[:-1]
+            # A text begins as often as there are texts, which is how often one ends.
+            before[starts] = each[-1]
+            own = (single + 1) / (total + distinct + 1)
+            keys, place = np.unique(_bigrams(hashes[codes], starts), return_inverse=True)
+            chance = (table.counts(keys)[place] + SMOOTHING * own) / (before + SMOOTHING)
+            scores = np.add.reduceat(np.log10(np.minimum(chance, 1.0)), starts)
+            log = np.fromiter((logs.get(w, np.nan) for w in block.words), np.float64, len(block.words))
+            missed = np.isnan(log)
+            known = np.add.reduceat(~missed[codes], starts, dtype=np.int64)
+            base = np.add.reduceat(np.where(missed, 0.0, log)[codes], starts)
+            columns = (c.tolist() for c in (block.sizes, known, base, scores))
+            rows = []
+            for same, *found in zip(owners, *columns, *tails(block, missed), strict=True):
+                for doc_id, held_out in same:
+                    rows.append((row, doc_id, held_out, *found))
                     row += 1
-                ids, lengths, known, base, tail, missed = zip(*rows, strict=True)
-                columns = [ids, some.column(0), some.column(1), lengths, known, base, scores, tail, missed]
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _SCORED_TYPES, strict=True)], names=_SCORED_NAMES
-                )
+                    if len(rows) == 10 * BLOCK:
+                        yield batch_of(rows)
+                        rows = []
+            if rows:
+                yield batch_of(rows)
 
     return run
 
 
-_PROBED = "chunk long, region int, keys binary, doc_id long, held_out boolean, text string"
-_PROBED_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.string()]
-_PROBED_NAMES = [part.split()[0] for part in _PROBED.split(", ")]
-
-
 def _probe(regions: int):
-    """Texts in chunks, and each chunk's distinct keys by region."""
+    """Each chunk's distinct keys by region, of texts in the order of chunks."""
 
-    def probed(chunk: int, texts: list[tuple], parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.unique(np.concatenate(parts))
-        region = (keys % np.uint64(regions)).astype(np.int64)
-        order = np.argsort(region, kind="stable")
-        keys, edges = keys[order], np.searchsorted(region[order], np.arange(regions + 1))
-        rows = [(chunk, r, _pack(keys[edges[r] : edges[r + 1]]), None, None, None) for r in np.flatnonzero(np.diff(edges)).tolist()]
-        rows += [(chunk, None, None, *text) for text in texts]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PROBED_TYPES, strict=True)], names=_PROBED_NAMES)
+    def asked(chunk: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        keys = _distinct(np.concatenate(parts))
+        order, edges = _by_region(keys, regions)
+        keys, some = keys[order], np.flatnonzero(np.diff(edges)).tolist()
+        packed = [_pack_gaps(keys[edges[r] : edges[r + 1]], regions) for r in some]
+        columns = [pa.array([chunk] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "region", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 40
-        texts, parts, held = [], [], 0
+        chunk, parts, held = None, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = list(zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True))
-                tokens = [tokens_of(text) for *_, text in some]
-                sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-                hashes = _word_hashes([t for one in tokens for t in one])
-                # Repeated keys go at once, so that what is held is small.
-                parts.append(np.unique(np.concatenate([_bigrams(hashes, np.cumsum(sizes) - sizes), _unigrams(hashes)])))
-                texts += some
-                held += len(hashes)
-                if held >= CHUNK_TOKENS:
-                    yield probed(chunk, texts, parts)
-                    chunk, texts, parts, held = chunk + 1, [], [], 0
-        if texts:
-            yield probed(chunk, texts, parts)
+            number = batch.column("chunk").to_numpy()
+            for at, end in _runs(number):
+                if number[at] != chunk:
+                    if parts:
+                        yield asked(chunk, parts)
+                    chunk, parts, held = int(number[at]), [], 0
+                for first in range(at, end, BLOCK):
+                    block = _read(batch.column("text").slice(first, min(BLOCK, end - first)))
+                    parts.append(_ngrams(block))
+                    held += len(block.codes)
+                    if held >= FLUSH_TOKENS:
+                        # A chunk of many repeated rows.
+                        parts, held = [_distinct(np.concatenate(parts))], 0
+        if parts:
+            yield asked(chunk, parts)
 
     return run
 
 
-def _answer(bits: int):
+def _answer(regions: int, bits: int):
     """Levels of each chunk's keys in a region, whose bits come before the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,12 +506,13 @@ def _answer(bits: int):
                 if chunk is None:
                     table = Filter(np.frombuffer(keys, np.uint8), 1, bits)
                     continue
+                keys = _unpack_gaps(keys, region, regions)
                 # A region without bits holds no n-gram.
-                found = np.zeros(len(keys) // 6, np.int8) if table is None else table.levels(_unpack(keys))
-                rows.append((chunk, keys, found.tobytes()))
-            chunks, keys, found = zip(*rows, strict=True) if rows else ([], [], [])
+                found = np.zeros(len(keys), np.int8) if table is None else table.levels(keys)
+                rows.append((chunk, region, found.tobytes()))
+            chunks, own, found = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chunks, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["chunk", "keys", "levels"]
+                [pa.array(chunks, pa.int64()), pa.array(own, pa.int32()), pa.array(found, pa.binary())], names=["chunk", "region", "levels"]
             )
 
     return run
@@ -425,14 +520,17 @@ def _answer(bits: int):
 
 def _answered(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` in chunks, each after the levels of its n-grams from the stored regions."""
-    probed = stored(rows.mapInArrow(_probe(model.regions), _PROBED))
-    asked = probed.where("region IS NOT NULL").select("region", "chunk", "keys")
+    size = rows.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
+    chunks = max(1, math.ceil(size / TOKEN_BYTES / CHUNK_TOKENS))
+    # By what a row holds, so that it is in the same chunk both times.
+    texts = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    dealt = texts.select("chunk", "text").repartition("chunk").sortWithinPartitions("chunk")
+    asked = dealt.mapInArrow(_probe(model.regions), "chunk long, region int, keys binary")
     both = model.built.select("region", F.lit(None).cast("long").alias("chunk"), F.col("bits").alias("keys")).unionByName(asked)
     both = both.repartition("region").sortWithinPartitions("region", F.col("chunk").asc_nulls_first())
-    answers = both.mapInArrow(_answer(model.bits), "chunk long, keys binary, levels binary")
-    texts = probed.where("region IS NULL").select("chunk", "doc_id", "held_out", "text")
+    answers = stored(both.mapInArrow(_answer(model.regions, model.bits), "chunk long, region int, levels binary"))
     met = answers.unionByName(texts, allowMissingColumns=True)
-    return met.repartition("chunk").sortWithinPartitions("chunk", F.col("keys").isNull())
+    return met.repartition("chunk").sortWithinPartitions("chunk", F.col("levels").isNull(), "region")
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from llm.fixtures import none, odd, prose, rows
 from pyspark.sql import functions as F
 
+from millrace.llm import common
 from millrace.llm import language_model as lm
 from millrace.llm.queries import op3_lm_scoring
 
@@ -69,6 +70,38 @@ def test_a_filter_beyond_the_broadcast_gives_the_same_scores(spark, monkeypatch)
         assert e[:5] == f[:5] and e[5:] == pytest.approx(f[5:], abs=1e-9)
 
 
+def test_blocks_hold_the_same_tokens():
+    texts = [prose(3, 80), None, "", " ", "\t\x0bA  b\x0c\r\n", "Ünï\u00a0cÖde\x85 \x1cX\x00Y", " A", "A "]
+    block = lm._read(lm.pa.array(["left out", *texts]).slice(1))
+    found = np.split([block.words[c] for c in block.codes], block.starts[1:])
+    assert [t.tolist() for t in found] == [np.array(lm.tokens_of(t)).tolist() for t in texts]
+    assert block.words[-1] == lm.END and len(set(block.words)) == len(block.words)
+
+
+def test_gaps_round_trip():
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 48, 90_000, dtype=np.uint64))
+    for regions in (1, 7, 70_000):
+        order, edges = lm._by_region(keys, regions)
+        for r in (0, regions - 1):
+            own = keys[order][edges[r] : edges[r + 1]]
+            packed = lm._pack_gaps(own, regions) if len(own) else b"\4"
+            assert (lm._unpack_gaps(packed, r, regions) == own).all() and (own % np.uint64(regions) == r).all()
+    dense = np.arange(5, 5000, 5, dtype=np.uint64)
+    assert len(lm._pack_gaps(dense, 5)) < 4 * len(dense) + 2
+
+
+def test_what_is_stored(spark, monkeypatch):
+    """Answers hold no keys, and texts are not stored."""
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 2000)
+    written = []
+    monkeypatch.setattr(lm, "stored", lambda df: written.append(common.stored(df)) or written[-1])
+    docs = spark.createDataFrame([(i, prose(i, 100)) for i in range(50)] * 2, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    model = lm.train(docs, filter_bytes=0)
+    found = lm.scores(docs, model)
+    assert [set(d.columns) & {"keys", "text"} for d in written[2:]] == [set(), set()]
+    assert found.count() == 100
+
+
 def test_no_known_ngram_is_missed():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 5000, dtype=np.uint64))
     counts = np.arange(1, len(keys) + 1).astype(np.uint64)
