@@ -93,7 +93,18 @@ def start_windows(
     first = [_FIRST[kind](F.lit(1) if c == "*" else F.col(f"`{c}`")).alias(name) for name, (kind, c) in measures.items()]
     again = [_AGAIN[kind](F.col(f"`{name}`")).alias(name) for name, (kind, _) in measures.items()]
 
+    def panes(batch: DataFrame, mark: int) -> DataFrame:
+        """Aggregates by steps, all rows of which are in the same windows, for each of these."""
+        at = F.col("__at")
+        timed = batch.withColumn("__at", _micros(batch, time)).where(at.isNotNull())
+        found = timed.groupBy(*names, (at - F.pmod(at, F.lit(step))).alias("__pane")).agg(*first, F.max("__at").alias("latest"))
+        starts = F.sequence(F.col("__pane") - (size - step), F.col("__pane"), F.lit(step).cast("long"))
+        found = found.withColumn("window_start", F.explode(F.filter(starts, lambda s: s + size > mark))).drop("__pane")
+        return found.withColumn("window_end", F.col("window_start") + size)
+
     def partial(batch: DataFrame, mark: int) -> DataFrame:
+        if not sessions and size % step == 0:
+            return panes(batch, mark)
         taken = tagged(batch, mark).withColumn("window_start", F.explode("__starts"))
         if not sessions:
             found = taken.groupBy(*names, "window_start").agg(*first, F.max("__at").alias("latest"))

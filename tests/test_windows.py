@@ -113,3 +113,9 @@ def test_refused(spark, tmp_path):
         start_windows(rows, str(tmp_path), ["k"], "at", {"m": ("mean", "v")}, 5)
     with pytest.raises(ValueError, match="given by the windows"):
         start_windows(rows.withColumnRenamed("v", "closed"), str(tmp_path), ["k"], "at", {}, 5)
+
+
+@pytest.mark.parametrize("seconds, slide", [(20, 5), (18, 6)])
+def test_windows_of_whole_steps(spark, tmp_path, seconds, slide):
+    """Rows of one step are counted together, and late for some of its windows."""
+    test_windows_over_starts(spark, tmp_path, seconds, slide, False, "timestamp_ntz")
