@@ -243,7 +243,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", _remainder(4) == 2)
     labels = read(spark, sf_dir, "labels").where(~(_remainder(4) == 2))
-    ranking = train_ranking(docs, labels.select("doc_id", (F.col("quality") == 1).alias("good")), seed=5)
+    ranking = train_ranking(docs.where("NOT held_out"), labels.select("doc_id", (F.col("quality") == 1).alias("good")))
     return scored(docs, ranking).withColumn("predicted", (F.col("score") >= AT_THRESHOLD).cast("int"))
 
 

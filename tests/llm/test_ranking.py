@@ -113,3 +113,46 @@ def test_same_labels_same_scores(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 2 == 1).alias("good"))
     first, second = (sorted(scored(d, train(d, labels)).collect()) for d in (docs, docs.repartition(7)))
     assert first == second and all((r.score >= AT_THRESHOLD) == (r.doc_id % 2 == 1) for r in first)
+
+
+def _sides(values, good):
+    """The features of each label's rows, as ``train`` sees them."""
+    return values[good], values[~good]
+
+
+def test_all_labelled_texts_and_pairs(spark, monkeypatch):
+    """Cuts, weights and threshold of a plain fit on every labelled text and every pair, with no sample of any size."""
+    rng = np.random.default_rng(3)
+
+    def text(i):
+        mark = "!" if rng.random() < (0.2 if i % 3 else 0.6) else "."
+        words = [f"{'W' if rng.random() < 0.1 + 0.2 * (i % 3 == 0) else 'w'}{int(w)}" for w in rng.integers(0, 40, rng.integers(5, 60))]
+        return " ".join(words) + mark * int(rng.integers(1, 4))
+
+    texts = {i: text(i) for i in range(600)}
+    texts |= {600: texts[0], 601: None, 602: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 3 != 0) for i in texts], "doc_id long, good boolean")
+    ranking = train(docs, labels)
+    values = np.array([features(t) for t in texts.values()])
+    good = np.array([i % 3 != 0 for i in texts])
+    points = np.linspace(0, 1, 13)[1:-1]
+    for i, own in enumerate(ranking.cuts):
+        assert own.tolist() == sorted({v for side in _sides(values, good) for v in np.quantile(side[:, i], points, method="lower")})
+    binned = np.array([[float(sum(c < x for c in own) == k) for own, x in zip(ranking.cuts, row, strict=True) for k in range(len(own) + 1)] for row in values])
+    better, worse = _sides(binned, good)
+
+    def slope(weights):
+        against = 1 / (1 + np.exp((better @ weights)[:, None] - (worse @ weights)[None, :]))
+        return (worse.T @ against.mean(axis=0)) / len(worse) - (better.T @ against.mean(axis=1)) / len(better) + PENALTY * weights
+
+    # At the least loss of all pairs the slope is 0; one pair of the 80,601 more or less would change it by more.
+    assert np.abs(slope(0 * ranking.weights)).max() > 0.05
+    assert np.abs(slope(ranking.weights)).max() < 1e-7
+    worths = binned @ ranking.weights
+    share = (~good).mean()
+    order = np.lexsort((~good, worths))
+    below = np.cumsum(np.where(good, (1 - share) / good.sum(), share / (~good).sum())[order])
+    at = int(np.searchsorted(below, share - 1e-9))
+    assert ranking.threshold == pytest.approx((worths[order[at]] + worths[order[at + 1]]) / 2, abs=1e-9)
+    assert ranking.scale == pytest.approx((np.median(worths[good]) - np.median(worths[~good])) / 8, abs=1e-9)
