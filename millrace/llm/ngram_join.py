@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,12 +37,13 @@ from millrace.llm.common import stored
 from millrace.llm.near_dedup import _measured as measured
 from millrace.llm.near_dedup import _set_hash as set_hash
 from millrace.llm.near_dedup import components, shingle_hashes
-from millrace.workspace import drop_folder, new_folder
 
 # Shingles that the sieve takes beyond a prefix, in percent of a set; partners share as many.
 SIEVE = 10
 # Shingles that a task combines before it posts them.
 CHUNK = 1 << 21
+# Holders of a shingle that are told apart: a task keeps so many of its rows until their number is known.
+MOST_HOLDERS = 1 << 17
 BITMAP = 1024
 # Members on either side of a tile, about.
 TILE = 2048
@@ -57,62 +59,60 @@ def _beyond(n: int, percent: int) -> int:
     return min(_least_common(n, percent), -(-SIEVE * n // 100))
 
 
-_SIEVED = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())])
-_SIEVED_TYPE = "kind int, a long, b long, n long, set_a long, set_b long"
-# Rows of the sieve: a document (key, id), shingles known as shared (key, how many), a posting (shingle, key or null).
+_DOCUMENT = pa.struct([(name, pa.int64()) for name in ("key", "n", "set_a", "set_b")])
+_SIEVED = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("doc", _DOCUMENT)])
+_SIEVED_TYPE = "kind int, a long, b long, doc struct<key: long, n: long, set_a: long, set_b: long>"
+# Rows of the sieve: a document (row, id), shingles known as shared (row, how many), a posting (shingle, row or null).
 DOCUMENT, CREDIT, POSTING = range(3)
 
 
-def _rows(kind: int, count: int, **columns) -> pa.RecordBatch:
-    arrays = [pa.array(np.full(count, kind, np.int32))]
-    for field in _SIEVED:
-        if field.name != "kind":
-            given = columns.get(field.name)
-            arrays.append(pa.nulls(count, pa.int64()) if given is None else pa.array(given, pa.int64()))
-    return pa.RecordBatch.from_arrays(arrays, schema=_SIEVED)
+def _rows(kind: int, a, b, doc: pa.Array | None = None) -> pa.RecordBatch:
+    columns = [np.full(len(a), kind, np.int32), a, b, pa.nulls(len(a), _DOCUMENT) if doc is None else doc]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SIEVED.types, strict=True)], schema=_SIEVED)
 
 
 def _sieve(size: int, percent: int):
     """Documents with their sets' hashes, and the shingles of the sieve combined by chunk."""
 
-    def combined(keys: list[int], taken: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def combined(rows: list[int], taken: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate(taken)
-        owner = np.repeat(np.arange(len(keys)), [len(t) for t in taken])
+        owner = np.repeat(np.arange(len(rows)), [len(t) for t in taken])
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
         same = hashes[1:] == hashes[:-1]
         shared = np.zeros(len(hashes), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        credit = np.bincount(owner[shared], minlength=len(keys))
+        credit = np.bincount(owner[shared], minlength=len(rows))
         some = np.flatnonzero(credit)
-        ids = np.array(keys, np.int64)
-        yield _rows(CREDIT, len(some), a=ids[some], b=credit[some])
+        ids = np.array(rows, np.int64)
+        yield _rows(CREDIT, ids[some], credit[some])
         first = np.ones(len(hashes), bool)
         first[1:] = ~same
         known = shared[first]
-        yield _rows(POSTING, len(known), a=hashes[first].view(np.int64), b=pa.array(ids[owner[first]], mask=known))
+        yield _rows(POSTING, hashes[first].view(np.int64), pa.array(ids[owner[first]], mask=known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, taken, held = [], [], 0
+        rows, taken, held = [], [], 0
         for batch in batches:
             found = []
-            for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, key, text, row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 own = shingle_hashes(text, size)
                 n = len(own)
-                found.append((doc, key, n, *(set_hash(own) if n else (None, None))))
+                found.append((row, doc, key, n, *(set_hash(own) if n else (None, None))))
                 if n:
-                    keys.append(key)
+                    rows.append(row)
                     taken.append(own[: n - _least_common(n, percent) + _beyond(n, percent)])
                     held += len(taken[-1])
                 if held >= CHUNK:
-                    yield from combined(keys, taken)
-                    keys, taken, held = [], [], 0
+                    yield from combined(rows, taken)
+                    rows, taken, held = [], [], 0
             if found:
-                doc, key, n, set_a, set_b = zip(*found, strict=True)
-                yield _rows(DOCUMENT, len(found), a=key, b=doc, n=n, set_a=set_a, set_b=set_b)
-        if keys:
-            yield from combined(keys, taken)
+                row, doc, *facts = zip(*found, strict=True)
+                facts = [pa.array(fact, pa.int64()) for fact in facts]
+                yield _rows(DOCUMENT, row, doc, pa.StructArray.from_arrays(facts, fields=list(_DOCUMENT)))
+        if rows:
+            yield from combined(rows, taken)
 
     return run
 
@@ -147,26 +147,40 @@ def _credited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(*carried, before)
 
 
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows of the sieve, credits in place of the postings; the others as they are."""
+    others: list[pa.RecordBatch] = []
+
+    def postings() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            posted = pc.equal(batch.column("kind"), POSTING)
+            others.append(batch.filter(pc.invert(posted)))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:3], names=["shingle", "key"]).filter(posted)
+
+    for credits in _credited(postings()):
+        yield _rows(CREDIT, *credits.columns)
+        yield from others
+        others.clear()
+    yield from others
+
+
 def _survivors(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All documents (``doc_id``, ``key``, ``n``, ``set_a``, ``set_b``), and the classes that may have a partner."""
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession)
-    docs.mapInArrow(_sieve(size, percent), _SIEVED_TYPE).write.parquet(f"{folder}/rows")
-    sieved = spark.read.schema(_SIEVED_TYPE).parquet(f"{folder}/rows")
-    signed = sieved.where(F.col("kind") == DOCUMENT).select(F.col("b").alias("doc_id"), F.col("a").alias("key"), "n", "set_a", "set_b")
-    signed = stored(signed)
-    postings = sieved.where(F.col("kind") == POSTING).select(F.col("a").alias("shingle"), F.col("b").alias("key"))
-    credits = postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_credited, "key long, n long")
-    known = sieved.where(F.col("kind") == CREDIT).select(F.col("a").alias("key"), F.col("b").alias("n"))
-    credits = credits.union(known).groupBy("key").agg(F.sum("n").alias("shared"))
+    """All documents (``doc_id``, ``key``, ``n``, ``set_a``, ``set_b``), and the classes that may have a partner.
+
+    Postings are a third of the input, so they are dealt out once and not stored.
+    """
+    # Only within this job; the number of a row is shorter in a posting than its key.
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    dealt = numbered.mapInArrow(_sieve(size, percent), _SIEVED_TYPE).repartition("a").sortWithinPartitions("a")
+    sieved = stored(dealt.mapInArrow(_resolved, _SIEVED_TYPE))
+    signed = sieved.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("row"), F.col("b").alias("doc_id"), "doc.*")
+    credits = sieved.where(F.col("kind") == CREDIT).groupBy(F.col("a").alias("row")).agg(F.sum("b").alias("shared"))
     # What _beyond is for the smallest partner.
     smallest = -F.floor(-percent * F.col("n") / 100)
     least = F.least(-F.floor(-percent * smallest / 100), -F.floor(-SIEVE * smallest / 100))
-    left = signed.join(credits, "key").where(F.col("shared") >= least)
+    left = signed.join(credits, "row").where(F.col("shared") >= least)
     classes = left.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
-    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))
-    # What is left of the postings is stored; they are a third of the input.
-    drop_folder(spark, folder)
-    return signed, classes
+    return signed.drop("row"), stored(classes.withColumn("id", F.monotonically_increasing_id()))
 
 
 def _shingles(size: int):
@@ -189,6 +203,35 @@ def _shingles(size: int):
     return run
 
 
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle, those whose shingle more than one class has, and how many do, up to ``MOST_HOLDERS``."""
+
+    def found(ids: np.ndarray, shingles: np.ndarray, over: int | None) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.append(np.ones(min(len(shingles), 1), bool), shingles[1:] != shingles[:-1]))
+        counts = np.diff(np.append(starts, len(shingles)))
+        holders = np.repeat(np.minimum(counts, MOST_HOLDERS), counts)
+        if over is not None:
+            holders[shingles == over] = MOST_HOLDERS
+        more = holders > 1
+        return pa.RecordBatch.from_arrays([pa.array(c[more], pa.int64()) for c in (ids, shingles, holders)], names=["id", "shingle", "holders"])
+
+    ids = shingles = np.empty(0, np.int64)
+    over = None
+    for batch in batches:
+        ids, shingles = (np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate((ids, shingles)))
+        if not len(ids):
+            continue
+        # The last shingle waits for the next batch, where it may go on.
+        last = int(np.searchsorted(shingles, shingles[-1]))
+        before = over
+        if shingles[-1] == over or len(shingles) - last >= MOST_HOLDERS:
+            last, over = len(shingles), int(shingles[-1])
+        yield found(ids[:last], shingles[:last], before)
+        ids, shingles = ids[last:], shingles[last:]
+    if len(ids):
+        yield found(ids, shingles, over)
+
+
 def _bitmaps(size: int):
     """The parities of a set's shingles over ``BITMAP`` bits."""
 
@@ -209,8 +252,8 @@ def _prefixes(shingles: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
     Equal numbers of holders are ordered by shingle, the same way everywhere.
     """
-    holders = shingles.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    shared = shingles.join(holders, "shingle").join(classes.select("id", "n"), "id")
+    held = shingles.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_held, "id long, shingle long, holders long")
+    shared = held.join(classes.select("id", "n"), "id")
     own = Window.partitionBy("id")
     ranked = shared.withColumns({"place": F.row_number().over(own.orderBy("holders", "shingle")), "single": F.col("n") - F.count("*").over(own)})
     # The prefix has n - t + 1 shingles; the ones that no other class has are its first.
@@ -343,7 +386,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     signed, classes = _survivors(docs, size, percent)
     texts = docs.select("key", "text").join(classes.select("key", "id", "set_a", "set_b"), "key").select("id", "text", "set_a", "set_b")
     texts = stored(texts.dropDuplicates(["id", "set_a", "set_b"]))
-    shingles = stored(texts.mapInArrow(_shingles(size), "id long, shingle long"))
+    shingles = texts.mapInArrow(_shingles(size), "id long, shingle long")
     prefixes = stored(_prefixes(shingles, classes, percent))
     groups, members = _groups(prefixes)
     families = stored(_expanded(groups, members))

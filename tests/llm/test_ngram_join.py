@@ -7,13 +7,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import DATA
 from llm.fixtures import none, odd, prose
 from oracle import duck_rows, spark_rows
 
 from millrace.llm import ORACLES, QUERIES
-from millrace.llm.ngram_join import _credited, ngram_join
+from millrace.llm.ngram_join import CREDIT, DOCUMENT, POSTING, _credited, _held, _resolved, _rows, ngram_join
 
 
 def _set(text: str | None, size: int) -> frozenset:
@@ -134,6 +135,42 @@ def test_shared_postings_across_batches(at):
     assert sorted(found) == sorted((k, 1) for (s, _), k in zip(rows, keys, strict=True) if k is not None and often[s] > 1)
 
 
+@pytest.mark.parametrize("at", [1, 2, 7, 100])
+def test_postings_become_credits(at):
+    rng = random.Random(at)
+    rows = [(rng.choice([DOCUMENT, CREDIT, POSTING, POSTING]), rng.randrange(20), i) for i in range(60)]
+    rows.sort(key=lambda row: row[1])
+    batches = [b for kind, a, i in rows for b in [_rows(kind, [a], [i])]]
+    whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    found = [tuple(r.values())[:3] for b in _resolved(iter([whole.slice(i, at) for i in range(0, 60, at)])) for r in b.to_pylist()]
+    often = np.bincount([a for kind, a, _ in rows if kind == POSTING], minlength=20)
+    assert sorted(found) == sorted((CREDIT, i, 1) if kind == POSTING else (kind, a, i) for kind, a, i in rows if kind != POSTING or often[a] > 1)
+
+
+@pytest.mark.parametrize("at", [1, 2, 3, 7, 100])
+def test_holders_across_batches(at, monkeypatch):
+    """One number for all rows of a shingle, however many it has; rows of one holder are left out."""
+    monkeypatch.setattr("millrace.llm.ngram_join.MOST_HOLDERS", 5)
+    rng = random.Random(at)
+    rows = sorted((rng.choice([-3, 0, 4, *range(9, 30)]), i) for i in range(60))
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*((i, s) for s, i in rows), strict=True)], names=["id", "shingle"])
+    found = [tuple(r.values()) for b in _held(iter([whole.slice(0, 0), *(whole.slice(i, at) for i in range(0, 60, at))])) for r in b.to_pylist()]
+    often = {s: sum(other == s for other, _ in rows) for s, _ in rows}
+    assert sorted(found) == sorted((i, s, min(often[s], 5)) for s, i in rows if often[s] > 1)
+    assert list(_held(iter([]))) == []
+
+
+def test_shingles_are_not_stored(spark, folder, monkeypatch):
+    """What is stored follows the documents, not their shingles."""
+    folders = (f"{folder}/run-{i}" for i in range(1000))
+    monkeypatch.setattr("millrace.llm.common.new_folder", lambda spark: next(folders))
+    texts = [text for i in range(30) for text in (prose(i, 300), prose(i, 300) + " end")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join(docs).select("doc_id", "component_id").collect()} == {(i, i // 2 * 2) for i in range(60)}
+    counts = [pq.read_table(path).num_rows for path in (DATA.__class__(folder)).glob("run-*/rows")]
+    assert len(counts) > 10 and max(counts) < 10 * len(texts) < len(texts) * 290
+
+
 def test_query_agrees_with_sql(spark):
     sf_dir = DATA / "sf0.01"
     expected_columns, expected = duck_rows(sf_dir, ORACLES["op11_ngram_join"])
