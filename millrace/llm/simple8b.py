@@ -41,8 +41,10 @@ def _choices(widths: np.ndarray) -> np.ndarray:
         power = 1 << (count.bit_length() - 1)
         w, shift = widest[power], count - power
         fits = np.maximum(w[:, :n], w[:, shift : shift + n]) <= bits
-        if fits.any():
-            best[fits] = selector
+        if not fits.any():
+            break
+        # What fits here has fitted the selectors of fewer and wider ids.
+        best -= fits
     return best
 
 
@@ -62,17 +64,15 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # All blocks walk their chains of words at the same time.
     ends = np.full(blocks, BLOCK, dtype=np.int64)
     ends[-1] = n - (blocks - 1) * BLOCK
-    row, at, steps = np.arange(blocks), np.zeros(blocks, dtype=np.int64), []
+    row, at = np.arange(blocks), np.zeros(blocks, dtype=np.int64)
+    begins = np.zeros((blocks, BLOCK), dtype=bool)
     while len(row):
-        selectors = choice[row, at]
-        steps.append((row, at, selectors))
-        at = at + _COUNT[selectors]
+        begins[row, at] = True
+        at = at + _COUNT[choice[row, at]]
         going = at < ends[row]
         row, at = row[going], at[going]
-    rows, places, selectors = (np.concatenate(x) for x in zip(*steps, strict=True))
-    order = np.lexsort((places, rows))
-    rows, selectors = rows[order], selectors[order]
-    starts = rows * BLOCK + places[order]
+    starts = np.flatnonzero(begins)
+    rows, selectors = starts // BLOCK, choice[begins]
     words = selectors.astype(np.uint64) << np.uint64(60)
     for selector in range(1, 15):
         chosen = np.flatnonzero(selectors == selector)

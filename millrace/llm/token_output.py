@@ -76,6 +76,144 @@ _SHOWN = [b for b in range(256) if b != ord(" ") and chr(b).isprintable()]
 _BYTE_LEVEL = {b: 256 + n for n, b in enumerate(sorted(set(range(256)).difference(_SHOWN)))}
 _SPACE = chr(_BYTE_LEVEL[ord(" ")])
 
+# Of UTF-8 bytes: white space but the space, the space, letters, marks, digits, and all others.
+_BLANK, _BLANK_SPACE, _OTHER, _LETTERS, _MARKS, _DIGITS = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+for _kind, _pattern in ((_BLANK, r"[\t-\r]"), (_BLANK_SPACE, " "), (_LETTERS, "[A-Za-z]"), (_MARKS, f"[{_MARK}]"), (_DIGITS, "[0-9]")):
+    _KIND[[b for b in range(128) if re.match(_pattern, chr(b))]] = _kind
+_ODD_WHITE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Bytes of a piece that stand in two words, beside the length.
+_SHORT = 15
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SLOTS = 1 << 20
+PIECES_AT_ONCE = 1 << 16
+BYTES_AT_ONCE = 1 << 22
+
+
+def _cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where pieces begin that encode one by one, in the UTF-8 of texts that have no white space beyond ASCII."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data == 0xC3)
+    if len(lead):
+        # The letters of Latin-1; its signs of multiplication and division are none.
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = _LETTERS
+    white = kind <= _BLANK_SPACE
+    cut = np.zeros(len(data), bool)
+    a, b = kind[:-1], kind[1:]
+    cut[1:] = (a != b) & (np.minimum(a, b) > _OTHER)
+    cut[1:] |= white[1:] & ~white[:-1]
+    cut[1:] |= ~white[1:] & (a == _BLANK)
+    # The last of several is a piece of its own or goes with what follows.
+    follows = ~white
+    follows[begins] = False
+    cut[1:-1] |= white[:-2] & white[1:-1] & follows[2:]
+    cut[begins] = True
+    return np.flatnonzero(cut)
+
+
+def _taken(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` values of ``pool`` from each ``first`` on."""
+    ends = np.cumsum(count)
+    return pool[np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Table:
+    """Ids of pieces, those of ``_SHORT`` bytes at most remembered by their bytes in a hash table.
+
+    When there are more than ``2 * CACHE_ENTRIES``, those stay that were met again.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], make_long: Callable[[str], bytes]):
+        self.make, self.make_long = make, make_long
+        # Entry 0 is none.
+        self._fill(np.zeros((2, 1), np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32))
+
+    def _fill(self, keys: np.ndarray, first: np.ndarray, count: np.ndarray, pool: np.ndarray) -> None:
+        self.keys, self.first, self.count, self.pool = keys, first, count, pool
+        self.n, self.held = len(first), len(pool)
+        self.used = np.zeros(self.n, bool)
+        self.slots = np.zeros(_SLOTS, np.int32)
+        self._insert(np.arange(1, self.n))
+
+    def _slot(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        mixed = (lo ^ (hi * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)).astype(np.int64)
+
+    def _insert(self, entries: np.ndarray) -> None:
+        slot = self._slot(*self.keys[:, entries])
+        while len(entries):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = entries[free]
+            left = self.slots[slot] != entries
+            entries, slot = entries[left], (slot[left] + 1) % _SLOTS
+
+    def _find(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(lo), np.int64)
+        slot, left = self._slot(lo, hi), np.arange(len(lo))
+        while len(left):
+            entry = self.slots[slot]
+            same = (self.keys[0][entry] == lo) & (self.keys[1][entry] == hi)
+            found[left[same]] = entry[same]
+            on = ~same & (entry != 0)
+            lo, hi, slot, left = lo[on], hi[on], (slot[on] + 1) % _SLOTS, left[on]
+        return found
+
+    def _put(self, lo: np.ndarray, hi: np.ndarray, made: list[bytes]) -> None:
+        """New entries from ``n`` on, in place of any that are there."""
+        count = np.array([len(ids) // 4 for ids in made], np.int64)
+        ids = np.frombuffer(b"".join(made), "<u4")
+        if self.n + len(made) > len(self.first):
+            more = self.n + len(made)
+            self.keys = np.concatenate([self.keys, np.zeros((2, more), np.uint64)], axis=1)
+            self.first, self.count = (np.concatenate([a, np.zeros(more, np.int64)]) for a in (self.first, self.count))
+            self.used = np.concatenate([self.used, np.zeros(more, bool)])
+        if self.held + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(self.held + len(ids), np.uint32)])
+        to = slice(self.n, self.n + len(made))
+        self.keys[:, to], self.count[to], self.used[to] = (lo, hi), count, False
+        self.first[to] = self.held + np.cumsum(count) - count
+        self.pool[self.held : self.held + len(ids)] = ids
+
+    def _add(self, pieces: list[bytes], lo: np.ndarray, hi: np.ndarray, make: Callable[[str], bytes]) -> np.ndarray:
+        """Entries of pieces that are not in the table, equal ones once."""
+        places: dict[bytes, int] = {}
+        number = np.array([places.setdefault(piece, len(places)) for piece in pieces], np.int64)
+        any_of = np.zeros(len(places), np.int64)
+        any_of[number] = np.arange(len(pieces))
+        self._put(lo[any_of], hi[any_of], [make(piece.decode()) for piece in places])
+        return self.n + number
+
+    def ids(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of ``data``, one after another, and how many each has; 16 bytes follow the last."""
+        if self.n > 2 * CACHE_ENTRIES:
+            keep = np.flatnonzero(self.used[: self.n])
+            keep = np.append(0, keep if len(keep) <= CACHE_ENTRIES else keep[:0])
+            count = self.count[keep]
+            pool = _taken(self.pool, self.first[keep], count)
+            self._fill(self.keys[:, keep], np.cumsum(count) - count, count, pool)
+        lengths = ends - starts
+        words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        lo = words[starts] & _MASKS[np.minimum(lengths, 8)]
+        hi = words[starts + 8] & _MASKS[np.clip(lengths - 8, 0, 7)]
+        hi |= np.minimum(lengths, 255).astype(np.uint64) << np.uint64(56)
+        entry = self._find(lo, hi)
+        self.used[entry[entry > 0]] = True
+        new = entry == 0
+        short = lengths <= _SHORT
+        # Long ones are put where the next entries come, for this call only.
+        for long in (False, True):
+            some = np.flatnonzero(new & (short != long))
+            if len(some):
+                pieces = [data[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+                entry[some] = self._add(pieces, lo[some], hi[some], self.make_long if long else self.make)
+                if not long:
+                    n, self.n = self.n, int(entry[some].max()) + 1
+                    self.held += int(self.count[n : self.n].sum())
+                    self._insert(np.arange(n, self.n))
+        count = self.count[entry]
+        return _taken(self.pool, self.first[entry], count), count
+
 
 class _Remembered(dict):
     """What ``make`` gives for a piece: that of late, and as much from before."""
@@ -99,10 +237,12 @@ class _Remembered(dict):
 class Encoder:
     """Texts to ids as little-endian 32-bit bytes.
 
-    A text is cut into pieces that encode one by one, and their ids are remembered,
-    in two generations of ``CACHE_ENTRIES``. A piece of which the tokenizer's pattern
-    makes one goes to its model at once. A text that holds the string of a special
-    token goes to the tokenizer whole, as do all texts of tokenizers of another kind.
+    A text is cut into pieces that encode one by one, and their ids are remembered:
+    of many texts at once, by their bytes, in a table. A piece of which the tokenizer's
+    pattern makes one goes to its model at once. A text with white space beyond ASCII is
+    cut by a pattern, and its pieces are remembered in two generations of ``CACHE_ENTRIES``.
+    One that holds the string of a special token goes to the tokenizer whole, as do all
+    texts of tokenizers of another kind.
     """
 
     def __init__(self, path: str):
@@ -124,6 +264,7 @@ class Encoder:
         )
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = _Remembered(self._piece)
+        self.table = _Table(self._piece, self.known.__getitem__)
 
     def _ids(self, text: str) -> bytes:
         (done,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -144,8 +285,45 @@ class Encoder:
             return self._ids(text)
         return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
 
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        data = b"".join(texts)
+        if not data:
+            return [b""] * len(texts)
+        begins = np.cumsum([0, *map(len, texts)])
+        starts = _cuts(np.frombuffer(data, np.uint8), begins[begins < len(data)])
+        ends = np.append(starts[1:], len(data))
+        data += bytes(16)
+        found = [self.table.ids(data, starts[at : at + PIECES_AT_ONCE], ends[at : at + PIECES_AT_ONCE]) for at in range(0, len(starts), PIECES_AT_ONCE)]
+        ids, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        bounds = 4 * np.append(0, np.cumsum(counts))[np.searchsorted(starts, begins)]
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._text(text) for text in texts]
+        done: list[bytes] = [b""] * len(texts)
+        places, raws, held = [], [], 0
+
+        def flush() -> None:
+            nonlocal held
+            for place, ids in zip(places, self._together(raws), strict=True):
+                done[place] = ids
+            places.clear()
+            raws.clear()
+            held = 0
+
+        for place, text in enumerate(texts):
+            odd = not text.isascii() and _ODD_WHITE.search(text)
+            if odd or not self.by_piece or any(special in text for special in self.added):
+                done[place] = self._text(text)
+                continue
+            raw = text.encode()
+            if held + len(raw) > BYTES_AT_ONCE:
+                flush()
+            places.append(place)
+            raws.append(raw)
+            held += len(raw)
+        flush()
+        return done
 
 
 def _segments(path: str, end_id: int | None, segment_ids: int):

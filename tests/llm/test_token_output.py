@@ -53,6 +53,29 @@ def test_special_tokens_and_small_caches(monkeypatch):
             assert np.frombuffer(encoder.encode([text, "word. word"])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_texts_are_not_cut_one_by_one(monkeypatch):
+    """Texts without white space beyond ASCII are cut and looked up together, over arrays."""
+    monkeypatch.setattr("millrace.llm.token_output._PIECE", None)
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    texts = ["Word, word.\n\nWord  x1 don't", "", "été× 字 a\x00 a", "a sixteen-byte-word-and-a-longerwordthanthat, " * 3]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("entries, at_once, held", [(2, 1, 1), (8, 5, 40), (200_000, 1 << 16, 1 << 22)])
+def test_any_text_encodes_as_the_library_does(monkeypatch, entries, at_once, held):
+    for name, value in (("CACHE_ENTRIES", entries), ("PIECES_AT_ONCE", at_once), ("BYTES_AT_ONCE", held)):
+        monkeypatch.setattr(f"millrace.llm.token_output.{name}", value)
+    tokenizer, encoder = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    letters = list("abzAZéßÿ×÷ \n\t\r\x0b\x1c'’.,!-_09²\u0301\u0085\u3000“字😀\x00ª's st re ")
+    some = np.random.default_rng(5)
+    for size in (1, 3, 20, 150):
+        texts = ["".join(some.choice(letters, some.integers(0, size + 1))) for _ in range(40)]
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)]
+        assert found == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+
+
 def _expected(data: list[tuple]) -> list[tuple]:
     tokenizer = Tokenizer.from_file(tokenizer_path())
     out, start = [], 0
