@@ -183,6 +183,12 @@ def _survivors(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Dat
     return signed.drop("row"), stored(classes.withColumn("id", F.monotonically_increasing_id()))
 
 
+def _class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id``, ``text``, ``set_a`` and ``set_b`` of each class, once; repeated rows are dropped where the join by key has dealt them."""
+    texts = docs.select("key", "text").join(classes.select("key", "id", "set_a", "set_b"), "key")
+    return texts.dropDuplicates(["key", "id", "set_a", "set_b"]).select("id", "text", "set_a", "set_b")
+
+
 def _shingles(size: int):
     """The full sets of the classes; rows of equal keys whose set is another one give none."""
 
@@ -384,8 +390,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("key"), "text")
     signed, classes = _survivors(docs, size, percent)
-    texts = docs.select("key", "text").join(classes.select("key", "id", "set_a", "set_b"), "key").select("id", "text", "set_a", "set_b")
-    texts = stored(texts.dropDuplicates(["id", "set_a", "set_b"]))
+    texts = stored(_class_texts(docs, classes))
     shingles = texts.mapInArrow(_shingles(size), "id long, shingle long")
     prefixes = stored(_prefixes(shingles, classes, percent))
     groups, members = _groups(prefixes)

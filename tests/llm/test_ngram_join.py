@@ -14,7 +14,7 @@ from llm.fixtures import none, odd, prose
 from oracle import duck_rows, spark_rows
 
 from millrace.llm import ORACLES, QUERIES
-from millrace.llm.ngram_join import CREDIT, DOCUMENT, POSTING, _credited, _held, _resolved, _rows, ngram_join
+from millrace.llm.ngram_join import CREDIT, DOCUMENT, POSTING, _class_texts, _credited, _held, _resolved, _rows, ngram_join
 
 
 def _set(text: str | None, size: int) -> frozenset:
@@ -171,6 +171,20 @@ def test_shingles_are_not_stored(spark, folder, monkeypatch):
     assert len(counts) > 10 and max(counts) < 10 * len(texts) < len(texts) * 290
 
 
+def test_texts_of_classes_are_dealt_out_once(spark):
+    """Whole texts go through one shuffle, by key, and each class gets one of its repeated rows."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(k % 4, f"text {k % 4}") for k in range(12)], "key long, text string").repartition(3)
+        classes = spark.createDataFrame([(0, 70, 1, 2, 9), (3, 71, 3, 4, 9)], "key long, id long, set_a long, set_b long, n long")
+        texts = _class_texts(docs, classes)
+        assert texts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert sorted(map(tuple, texts.collect())) == [(70, "text 0", 1, 2), (71, "text 3", 3, 4)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_query_agrees_with_sql(spark):
     sf_dir = DATA / "sf0.01"
     expected_columns, expected = duck_rows(sf_dir, ORACLES["op11_ngram_join"])
